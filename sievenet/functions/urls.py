@@ -54,6 +54,24 @@ def _escape(text: Column, safe: str) -> Column:
     return F.array_join(F.transform(tokens, encode), "")
 
 
+def _encode(text: Column, safe: str) -> Column:
+    """Encode every byte outside ``safe``, existing escapes included."""
+    tokens = F.regexp_extract_all(text, F.lit(f"[{safe}]++|[^{safe}]++"), F.lit(0))
+    percent = lambda token: F.regexp_replace(F.hex(token.cast("binary")), "(..)", "%$1")
+    return F.array_join(
+        F.transform(tokens, lambda token: F.when(token.rlike(f"\\A[{safe}]"), token).otherwise(percent(token))), ""
+    )
+
+
+def encode_path(path: Column) -> Column:
+    """A path taken literally: ``%`` itself is encoded too."""
+    return _encode(path, _PATH_SAFE)
+
+
+def encode_host(host: Column) -> Column:
+    return _encode(host, _HOST_SAFE)
+
+
 def escape_path(path: Column) -> Column:
     """A legal path as written, any other decoded and encoded as a whole."""
     return F.when(_matches(path, _PATH_LEGAL), path).otherwise(_escape(path, _PATH_SAFE))

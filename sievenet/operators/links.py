@@ -16,7 +16,7 @@ from sievenet.functions import urls
 from sievenet.functions.html import html_links
 from sievenet.functions.regex import to_spark_regex
 from sievenet.operators.outscope import out_of_scope
-from sievenet.operators.scope import parse_target, scope_matches
+from sievenet.operators.scope import literal_scope, scope_matches
 
 # Link shapes looked for in text bodies, in order.
 TEXT_LINK_PATTERNS = (
@@ -138,8 +138,8 @@ def extract_links(
     rows = with_resolved_links(captures.select(*dict.fromkeys([*keep, "final_url", "content_type", "body"])), out_scope)
     links = F.col("links")
     if scope and not allow_off_domain:
-        rows = rows.withColumn("_scope", parse_target(F.lit(scope)))
-        links = F.filter(links, lambda link: scope_matches(F.col("_scope"), link))
+        target = literal_scope(captures.sparkSession, scope)
+        links = F.filter(links, lambda link: scope_matches(target, link))
     if not aggressive:
         links = F.filter(links, lambda link: link["relevant"])
     distinct = F.array_distinct(F.transform(links, lambda link: link["url"]))

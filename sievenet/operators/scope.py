@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievenet.functions import urls
@@ -104,6 +104,19 @@ def parse_target(raw: Column) -> Column:
     return F.element_at(parse_targets(F.array(raw)), 1)
 
 
+def literal_scope(spark: SparkSession, raw: str) -> Column:
+    """Scope struct of one known target as literals, so its tests fold and its
+    path pattern compiles once per task.  An unusable target fails here."""
+    row = spark.range(1).select(parse_target(F.lit(raw)).alias("scope")).first()["scope"]
+    if row["error"]:
+        raise ValueError(f"{row['error']}: {raw}")
+
+    def literal(value) -> Column:
+        return F.array(*(F.lit(v) for v in value)) if isinstance(value, list) else F.lit(value)
+
+    return F.struct(*(literal(row[name]).alias(name) for name in row.asDict() if name != "error"))
+
+
 def scope_matches(scope: Column, url: Column) -> Column:
     """True where parsed URL parts lie inside a scope.
 
