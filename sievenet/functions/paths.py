@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievenet.functions import urls
+from sievenet.functions.built import built_once
 from sievenet.functions.text import as_text, extension_as_written, first_case, trim_space
 
 MAX_PART = 96
@@ -61,36 +62,39 @@ def with_relative_path(captures: DataFrame, name: str = "relative_path") -> Data
     extension by type; queries become a digest before the extension.
     """
     columns = captures.columns
-    staged = captures.select(*columns, urls.parse_all(F.array("final_url"))[0].alias("_url")).select(
-        *columns, "_url", clean_parts(F.col("_url.escaped_path")).alias("_parts")
+    parts, dirs, file_stem, extra, file, path = _stages()
+    return (
+        captures.select(*columns, urls.parts_of("final_url").alias("_url"))
+        .select(*columns, "_url", parts.alias("_parts"))
+        .select(*columns, "_url", dirs.alias("_dirs"), file_stem.alias("_file"), extra.alias("_ext"))
+        .select(*columns, "_url", "_dirs", "_ext", file.alias("_file"))
+        .select(*columns, path.alias(name))
     )
+
+
+@built_once
+def _stages() -> tuple[Column, ...]:
     last = F.element_at("_parts", -1)
     by_type = default_extension(F.col("content_type"))
-    staged = staged.select(
-        *columns,
-        "_url",
-        F.when(F.size("_parts") > 1, F.slice("_parts", F.lit(1), F.size("_parts") - 1))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("_dirs"),
-        F.when(F.size("_parts") > 0, sanitize(last)).alias("_file"),
+    dirs = F.when(F.size("_parts") > 1, F.slice("_parts", F.lit(1), F.size("_parts") - 1)).otherwise(
+        F.array().cast("array<string>")
+    )
+    file_stem = F.when(F.size("_parts") > 0, sanitize(last))
+    extra = (
         F.when(F.size("_parts") > 0, F.coalesce(F.nullif(extension_as_written(last), F.lit("")), by_type))
         .when(F.col("_url.escaped_path") == "", F.lit("."))
         .otherwise(by_type)
-        .alias("_ext"),
     )
-    file = F.when(extension_as_written(F.col("_file")) == "", F.concat("_file", "_ext")).otherwise(F.col("_file"))
-    staged = staged.select(*columns, "_url", "_dirs", "_ext", file.alias("_file"))
-    ext = extension_as_written(F.col("_file"))
+    named = F.col("_file")
+    file = F.when(extension_as_written(named) == "", F.concat("_file", "_ext")).otherwise(named)
+    ext = extension_as_written(named)
     base = F.substr("_file", F.lit(1), F.char_length("_file") - F.char_length(ext))
     hashed = F.concat(shorten(base), _digest(F.col("_url.query")), ext)
-    named = (
-        F.when(F.col("_file").isNull(), F.concat(F.lit("index"), F.col("_ext")))
+    leaf = (
+        F.when(named.isNull(), F.concat(F.lit("index"), F.col("_ext")))
         .when(F.col("_url.query") != "", hashed)
-        .otherwise(F.col("_file"))
-    )
-    return staged.select(
-        *columns,
-        F.array_join(
-            F.concat(F.array(sanitize(F.col("_url.host"))), F.transform("_dirs", sanitize), F.array(named)), "/"
-        ).alias(name),
+        .otherwise(named)
     )
+    host = F.array(sanitize(F.col("_url.host")))
+    path = F.array_join(F.concat(host, F.transform("_dirs", sanitize), F.array(leaf)), "/")
+    return clean_parts(F.col("_url.escaped_path")), dirs, file_stem, extra, file, path

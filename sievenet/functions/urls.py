@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievenet.functions.built import built_once
+
 # Characters a URL part may hold unescaped.
 _PATH_SAFE = "A-Za-z0-9\\-_.~$&+,/:;=@"
 _PATH_LEGAL = f"\\A(?:[{_PATH_SAFE}!'()*\\[\\]]|%[0-9A-Fa-f]{{2}})*+\\z"
@@ -221,6 +223,12 @@ def parse(url: Column) -> Column:
     return F.element_at(parse_all(F.array(url)), 1)
 
 
+@built_once
+def parts_of(name: str) -> Column:
+    """Part struct of the URL column ``name``."""
+    return parse(F.col(name))
+
+
 def _text(s: Column) -> Column:
     """URL string of a resolved part struct with a scheme and a host."""
     slash = F.when((s["escaped_path"] != "") & ~F.startswith(s["escaped_path"], F.lit("/")), F.lit("/"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sievenet.functions import urls
 from sievenet.operators.links import with_resolved_links
-from sievenet.operators.scope import discovery_is_on, literal_scope, parse_target, scope_matches, url_in_scope
+from sievenet.operators.scope import admits, discovery_is_on, literal_scope, scope_matches
 from sievenet.session import fits_broadcast, new_dir
 from sievenet.sources.requests import inherited_headers
 
@@ -29,7 +29,7 @@ LITERAL_TARGETS = 32
 
 MAX_EDGE_BUCKETS = 1024
 
-_QUEUE = ("queue_ord", "depth", "method", "url", "headers", "target_url", "discovered_from")
+_QUEUE = ("queue_ord", "depth", "method", "url", "headers", "target_url", "discovered_from", "scope")
 
 
 class Crawl(NamedTuple):
@@ -115,8 +115,9 @@ def _reachable_pages(captures: DataFrame, seeds: DataFrame, allow_off_domain: bo
         return captures
     test = F.col("_key").isin(*(row["_key"] for row in asked))
     for row in targets:
-        test = test | url_in_scope(literal_scope(captures.sparkSession, row["target_url"]), F.col("_key"))
-    return captures.withColumn("_key", urls.without_fragment(F.col("url"))).where(test).drop("_key")
+        test = test | scope_matches(literal_scope(captures.sparkSession, row["target_url"]), F.col("_page"))
+    keyed = captures.withColumn("_key", urls.without_fragment(F.col("url"))).withColumn("_page", urls.parts_of("_key"))
+    return keyed.where(test).drop("_key", "_page")
 
 
 def build_edges(captures: DataFrame, out_scope: Sequence[str] = ()) -> DataFrame:
@@ -174,25 +175,22 @@ def _children(wave: DataFrame, edges: DataFrame, rows: int, allow_off_domain: bo
         page.alias("page"),
         F.col("url").alias("_asked"),
         F.col("queue_ord").alias("_parent"),
-        inherited_headers(F.col("headers")).alias("headers"),
-        "target_url",
+        "scope",
     )
-    found = edges.join(F.broadcast(parents) if fits_broadcast(rows) else parents, keys)
-    admitted = F.contains("target_url", F.lit("*")) | F.col("relevant")
-    found = found.where(admitted).withColumn("_scope", parse_target(F.col("target_url")))
+    small = fits_broadcast(rows)
+    found = edges.join(F.broadcast(parents) if small else parents, keys).where(F.col("scope.wildcard") | F.col("relevant"))
     if not allow_off_domain:
-        found = found.where(scope_matches(F.col("_scope"), F.col("parts")))
+        found = found.where(admits("scope", "parts"))
     fragment = urls.after(F.col("_asked"), F.col("page"))
     here = F.when(F.col("stayed"), F.col("_asked")).otherwise(F.col("final_url"))
     own = F.col("same_page") & F.col("stayed") & (fragment != "") & ~F.contains("link_url", F.lit("#"))
     url = F.when(own, F.concat("link_url", fragment)).otherwise(F.col("link_url"))
-    links = found.select(
-        url.alias("url"),
-        F.struct("_parent", "link_ord").alias("_place"),
-        F.struct("headers", "target_url", here.alias("discovered_from")).alias("_row"),
+    links = found.select(url.alias("url"), F.struct("_parent", "link_ord", here.alias("discovered_from")).alias("_first"))
+    first = links.groupBy("url").agg(F.min("_first").alias("_first")).select("url", "_first.*")
+    inherited = wave.select(
+        F.col("queue_ord").alias("_parent"), inherited_headers(F.col("headers")).alias("headers"), "target_url", "scope"
     )
-    first = links.groupBy("url").agg(F.min("_place").alias("_place"), F.min_by("_row", "_place").alias("_row"))
-    return first.select("url", "_place._parent", "_place.link_ord", "_row.*")
+    return first.join(F.broadcast(inherited) if small else inherited, "_parent")
 
 
 def crawl(
@@ -250,6 +248,7 @@ def crawl(
                 "headers",
                 "target_url",
                 "discovered_from",
+                "scope",
                 F.lit(True).alias("fetched"),
             ),
             depth,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sievenet.functions import text as T
 from sievenet.functions import urls
+from sievenet.functions.built import built_once
 from sievenet.functions.html import html_links
 from sievenet.functions.regex import to_spark_regex
 from sievenet.operators.outscope import out_of_scope
@@ -98,6 +99,17 @@ def is_relevant(path: Column, query: Column) -> Column:
     )
 
 
+@built_once
+def _stages(out_scope: tuple[str, ...]) -> tuple[Column, Column]:
+    found = candidates(F.col("_text"), F.col("content_type"), F.col("final_url"))
+    resolved = urls.resolve_all(F.col("_base"), F.when(F.col("_base.valid"), F.col("_refs")))
+    kept = F.filter(
+        resolved,
+        lambda link: ~is_skipped(link["path"]) & ~out_of_scope(out_scope, link["url"], link["path"]),
+    )
+    return found, F.transform(kept, lambda link: link.withField("relevant", is_relevant(link["path"], link["query"])))
+
+
 def with_resolved_links(captures: DataFrame, out_scope: Sequence[str] = (), name: str = "links") -> DataFrame:
     """Add an array of resolved links to every capture.
 
@@ -105,18 +117,12 @@ def with_resolved_links(captures: DataFrame, out_scope: Sequence[str] = (), name
     follows.  Staged in projections so that the base URL is parsed once.
     """
     columns = captures.columns
-    staged = captures.select(
-        *columns,
-        urls.parse_all(F.array("final_url"))[0].alias("_base"),
-        candidates(T.as_text(F.col("body")), F.col("content_type"), F.col("final_url")).alias("_refs"),
-    )
-    resolved = urls.resolve_all(F.col("_base"), F.when(F.col("_base.valid"), F.col("_refs")))
-    kept = F.filter(
-        resolved,
-        lambda link: ~is_skipped(link["path"]) & ~out_of_scope(out_scope, link["url"], link["path"]),
+    found, links = _stages(tuple(out_scope))
+    return (
+        captures.select(*columns, urls.parts_of("final_url").alias("_base"), T.as_text(F.col("body")).alias("_text"))
+        .select(*columns, "_base", found.alias("_refs"))
+        .select(*columns, links.alias(name))
     )
-    marked = F.transform(kept, lambda link: link.withField("relevant", is_relevant(link["path"], link["query"])))
-    return staged.select(*columns, marked.alias(name))
 
 
 def extract_links(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievenet.functions import urls
+from sievenet.functions.built import built_once
 from sievenet.functions.text import trim_space
 
 
@@ -104,10 +105,16 @@ def parse_target(raw: Column) -> Column:
     return F.element_at(parse_targets(F.array(raw)), 1)
 
 
+@built_once
+def scope_of(name: str) -> Column:
+    """Scope struct of the target column ``name``."""
+    return parse_target(F.col(name))
+
+
 def literal_scope(spark: SparkSession, raw: str) -> Column:
     """Scope struct of one known target as literals, so its tests fold and its
     path pattern compiles once per task.  An unusable target fails here."""
-    row = spark.range(1).select(parse_target(F.lit(raw)).alias("scope")).first()["scope"]
+    row = spark.range(1).select(F.lit(raw).alias("raw")).select(scope_of("raw").alias("scope")).first()["scope"]
     if row["error"]:
         raise ValueError(f"{row['error']}: {raw}")
 
@@ -149,10 +156,22 @@ def url_in_scope(scope: Column, url: Column) -> Column:
     return F.exists(parts, lambda p: p["valid"] & scope_matches(scope, p))
 
 
-def with_scope(requests: DataFrame, scope: str | None = None) -> DataFrame:
-    """Add each request's ``scope``: the given target, or its own URL."""
-    target = F.lit(scope) if scope and scope.strip() else F.col("url")
-    return requests.withColumn("scope", parse_target(target))
+@built_once
+def _in_scope(scope: str, parts: str) -> Column:
+    return F.col(f"{parts}.valid") & scope_matches(F.col(scope), F.col(parts))
+
+
+def where_in_scope(rows: DataFrame, scope: str, url: str) -> DataFrame:
+    """Rows whose URL column lies in their scope column."""
+    columns = rows.columns
+    parsed = rows.withColumn("_parts", urls.parts_of(url))
+    return parsed.where(_in_scope(scope, "_parts")).select(*columns)
+
+
+@built_once
+def admits(scope: str, parts: str) -> Column:
+    """Scope test of parsed parts, both given by column name."""
+    return scope_matches(F.col(scope), F.col(parts))
 
 
 def build_frontier(requests: DataFrame, scope: str | None = None, *, order: str = "req_ord") -> DataFrame:
@@ -163,16 +182,15 @@ def build_frontier(requests: DataFrame, scope: str | None = None, *, order: str
     keeps request order, then seed order, and need not be dense.  An unusable
     target fails the run.
     """
-    rows = with_scope(requests, scope)
-    checked = F.when(rows["scope.error"].isNull(), rows["scope.raw"]).otherwise(
+    one = scope.strip() if scope else ""
+    rows = requests.withColumn("_target", F.lit(one) if one else F.col("url")).withColumn("scope", scope_of("_target"))
+    usable = F.when(F.col("scope.error").isNull(), F.col("scope.raw"))
+    checked = usable.otherwise(
         F.raise_error(F.concat(F.col("scope.error"), F.lit(": "), F.col("scope.raw"))).cast("string")
     )
-    if scope and scope.strip():
-        seeds = rows.select("*", F.lit(0).alias("_seed"), F.col("url").alias("_url"))
-    else:
-        seeds = rows.select("*", F.posexplode("scope.seeds").alias("_seed", "_url"))
-    method = F.when(F.trim(F.coalesce("method", F.lit(""))) == "", F.lit("GET")).otherwise(F.col("method"))
-    return seeds.select(
+    seeds = F.array("url") if one else F.col("scope.seeds")
+    method = F.coalesce(F.nullif(F.trim("method"), F.lit("")), F.lit("GET"))
+    return rows.select("*", F.posexplode(seeds).alias("_seed", "_url")).select(
         (F.col(order) * 2 + F.col("_seed")).cast("bigint").alias("queue_ord"),
         F.lit(0).alias("depth"),
         method.alias("method"),
@@ -180,6 +198,7 @@ def build_frontier(requests: DataFrame, scope: str | None = None, *, order: str
         F.col("headers"),
         checked.alias("target_url"),
         F.lit("").alias("discovered_from"),
+        F.col("scope"),
     )
 
 

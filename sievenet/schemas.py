@@ -20,7 +20,7 @@ SCOPE = (
 
 FRONTIER = (
     f"queue_ord bigint, depth int, method string, url string, headers {HEADERS}, "
-    "target_url string, discovered_from string"
+    f"target_url string, discovered_from string, scope {SCOPE}"
 )
 
 MANIFEST = "ord int, status int, content_type string, url string, relative_path string"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievenet.functions.paths import with_relative_path
-from sievenet.operators.scope import parse_target, url_in_scope
+from sievenet.operators.scope import scope_of, where_in_scope
 
 SAVE_MODES = ("scope", "full")
 
@@ -33,8 +33,7 @@ def rows_to_save(resources: DataFrame, mode: str = "scope") -> DataFrame:
     if mode not in ("", "scope"):
         return resources.limit(0)
     columns = resources.columns
-    scoped = resources.withColumn("_scope", parse_target(F.col("target_url")))
-    return scoped.where(url_in_scope(F.col("_scope"), F.col("final_url"))).select(*columns)
+    return where_in_scope(resources.withColumn("_scope", scope_of("target_url")), "_scope", "final_url").select(*columns)
 
 
 def manifest(resources: DataFrame, order: str = "queue_ord") -> DataFrame:
