@@ -96,5 +96,7 @@ def _stages() -> tuple[Column, ...]:
         .otherwise(named)
     )
     host = F.array(sanitize(F.col("_url.host")))
-    path = F.array_join(F.concat(host, F.transform("_dirs", sanitize), F.array(leaf)), "/")
+    joined = F.array_join(F.concat(host, F.transform("_dirs", sanitize), F.array(leaf)), "/")
+    # Never null, so a join on the path infers no filter that repeats all this.
+    path = F.coalesce(joined, F.lit(""))
     return clean_parts(F.col("_url.escaped_path")), dirs, file_stem, extra, file, path
