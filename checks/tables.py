@@ -112,8 +112,7 @@ def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(200).alias("status"),
             F.lit("text/html").alias("content_type"),
             F.expr(
-                "concat(html, '<a href=\"', replace(first_url, '&', '&amp;'), '\">1</a>',"
-                " '<a href=\"', replace(second_url, '&', '&amp;'), '\">2</a>')"
+                "concat(html, '<a href=\"', first_url, '\">1</a>', '<a href=\"', second_url, '\">2</a>')"
             )
             .cast("binary")
             .alias("body"),
