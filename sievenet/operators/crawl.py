@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sievenet.functions import urls
@@ -160,14 +160,18 @@ def write_edges(captures: DataFrame, path: str, out_scope: Sequence[str] = ()) -
     bucketed.write.partitionBy("buckets", "bucket").parquet(path)
 
 
-def _children(wave: DataFrame, edges: DataFrame, rows: int, allow_off_domain: bool) -> DataFrame:
+def _stored_buckets(edges: DataFrame) -> int | None:
+    row = edges.select("buckets").first() if "buckets" in edges.columns else None
+    return row["buckets"] if row else None
+
+
+def _children(wave: DataFrame, edges: DataFrame, buckets: int | None, rows: int, allow_off_domain: bool) -> DataFrame:
     """Links of a wave's pages that its scopes admit, one row per new URL."""
     page = urls.without_fragment(F.col("url"))
     keys = ["method", "page"]
-    stored = edges.select("buckets").first() if "buckets" in edges.columns else None
     bucket = []
-    if stored:
-        bucket = [edge_bucket(page, stored["buckets"]).alias("bucket")]
+    if buckets:
+        bucket = [edge_bucket(page, buckets).alias("bucket")]
         keys.append("bucket")
     parents = wave.select(
         *bucket,
@@ -221,22 +225,29 @@ def crawl(
     def wave_path(depth: int) -> str:
         return f"{root}/queue/wave={depth}"
 
+    def stored(last: int, first: int = 0) -> DataFrame:
+        paths = [wave_path(d) for d in range(first, last + 1)]
+        return spark.read.schema(schema).parquet(*paths)
+
     def store(rows: DataFrame, depth: int) -> tuple[DataFrame, int]:
-        rows.select(*_QUEUE, "fetched").write.parquet(wave_path(depth))
-        stored = spark.read.parquet(wave_path(depth))
-        return stored, stored.count()
+        written = Observation()
+        rows.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(wave_path(depth))
+        return stored(depth, depth), written.get["n"]
 
     frontier.select(*_QUEUE).write.parquet(f"{root}/seeds")
     seeds = spark.read.parquet(f"{root}/seeds")
-    wave, queued = store(_mark_first(number_rows(seeds, ["queue_ord"], 0, seeds.count())), 0)
+    first = _mark_first(number_rows(seeds, ["queue_ord"], 0, seeds.count())).select(*_QUEUE, "fetched")
+    schema = first.schema
+    wave, queued = store(first, 0)
     discover = discover or discovery_is_on(wave)
     rows, depth = queued, 0
     if discover and edges is None:
         write_edges(_reachable_pages(captures, wave, allow_off_domain), f"{root}/edges", out_scope)
         edges = spark.read.parquet(f"{root}/edges")
+    buckets = _stored_buckets(edges) if discover else None
     while discover and rows and queued < max_crawl:
-        seen = spark.read.parquet(*(wave_path(d) for d in range(depth + 1))).select("url")
-        fresh = _children(wave.where("fetched"), edges, rows, allow_off_domain).join(seen, "url", "left_anti")
+        seen = stored(depth).select("url")
+        fresh = _children(wave.where("fetched"), edges, buckets, rows, allow_off_domain).join(seen, "url", "left_anti")
         depth += 1
         numbered = number_rows(fresh, ("_parent", "link_ord"), queued, max_crawl - queued)
         wave, rows = store(
@@ -254,7 +265,7 @@ def crawl(
             depth,
         )
         queued += rows
-    queue = spark.read.parquet(*(wave_path(d) for d in range(depth + 1)))
+    queue = stored(depth)
     asked = queue.where("fetched").drop("fetched")
     unreachable = missing(asked, captures)
     if strict and not discover and not unreachable.isEmpty():
