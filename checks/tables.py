@@ -92,14 +92,14 @@ def html_pages(spark: SparkSession, sf: str, body: str = LINK_BODY) -> DataFrame
 def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
     """HTML pages that also link to two other pages, forming a graph."""
     table = read(spark, sf, "pages").select("page_id", "url", "html")
-    total = table.agg(F.count(F.lit(1)).alias("n"))
+    total = table.count()
     ids = table.select("page_id", "url")
-    base = spread(table, "page_id").join(F.broadcast(total))  # one row
+    base = spread(table, "page_id")
     first = ids.select(F.col("page_id").alias("_one"), F.col("url").alias("first_url"))
     second = ids.select(F.col("page_id").alias("_two"), F.col("url").alias("second_url"))
     return (
-        base.withColumn("_one", F.expr("(2 * page_id + 1) % n"))
-        .withColumn("_two", F.expr("(2 * page_id + 2) % n"))
+        base.withColumn("_one", (F.col("page_id") * 2 + 1) % total)
+        .withColumn("_two", (F.col("page_id") * 2 + 2) % total)
         .join(first, "_one")
         .join(second, "_two")
         .select(

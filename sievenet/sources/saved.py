@@ -104,6 +104,9 @@ def find_scan_dirs(paths: DataFrame) -> DataFrame:
     """
     path = F.col("path")
     nested = F.contains(path, F.lit("/"))
+    root_only = not paths.where(path == INDEX).select("path").isEmpty()
+    if root_only:
+        return paths.sparkSession.range(1).select(F.lit("").alias("scan_dir"))
     candidates = F.filter(
         F.array(
             F.when(~nested, F.lit("")),
@@ -112,14 +115,7 @@ def find_scan_dirs(paths: DataFrame) -> DataFrame:
         ),
         lambda folder: folder.isNotNull(),
     )
-    found = paths.select(F.explode(F.array_distinct(candidates)).alias("scan_dir"), (path == INDEX).alias("_root"))
-    dirs = found.groupBy("scan_dir").agg(F.bool_or("_root").alias("_root"))
-    only_root = dirs.where("_root").select(F.lit(True).alias("_only")).limit(1)
-    return (
-        dirs.join(only_root, F.lit(True), "left")
-        .where(F.col("_only").isNull() | F.col("_root"))
-        .select("scan_dir")
-    )
+    return paths.select(F.explode(F.array_distinct(candidates)).alias("scan_dir")).distinct()
 
 
 def _members(files: DataFrame, dirs: DataFrame) -> DataFrame:
