@@ -335,10 +335,9 @@ def _roundtrip(spark, sf):
 
 
 # Pages that share a path (a fragment apart) share the body saved last.
-_PATH_GROUP = "regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://', '')"
 check(
     "corpus_roundtrip",
-    f"""WITH {t.pages_sql(t.SITE_BODY)}, last AS (SELECT *, max(capture_id) OVER (PARTITION BY regexp_replace({_PATH_GROUP}, '\\.html$', '')) AS w FROM site),
+    f"""WITH {t.pages_sql(t.SITE_BODY)}, last AS (SELECT *, max(capture_id) OVER (PARTITION BY {t.PATH_SQL}) AS w FROM site),
   kept AS (SELECT a.url AS final_url, b.body FROM last a JOIN site b ON b.capture_id = a.w), {t.lines_sql('kept')} """
     + matches_sql(packaged_patterns(), columns="pattern_name, matched_value, final_url AS resource_url, line"),
 )(_roundtrip)

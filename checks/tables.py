@@ -164,3 +164,13 @@ def escaped_path(expression: str) -> str:
         text = f"replace({text}, '%{ord(char):02X}', '{char}')"
     legal = "^(?:[A-Za-z0-9_.~$&+,/:;=@!''()*\\[\\]-]|%[0-9A-Fa-f]{2})*$"
     return f"CASE WHEN regexp_matches({expression}, '{legal}') THEN {expression} ELSE {text} END"
+
+
+# The path a page is saved under.
+_HOST = "regexp_extract(url, '^https?://([^/]+)', 1)"
+_FILE = "regexp_extract(url, '^https?://[^/]+/[^/]+/([^/?#]*)', 1)"
+_QUERY = "regexp_extract(url, '[?]([^#]*)', 1)"
+_BY_TYPE = """CASE WHEN content_type LIKE '%html%' THEN '.html' WHEN content_type LIKE '%javascript%' THEN '.js' WHEN content_type LIKE '%json%' THEN '.json'
+  WHEN content_type LIKE '%xml%' THEN '.xml' WHEN content_type LIKE '%css%' THEN '.css' ELSE '.bin' END"""
+PATH_SQL = f"""concat({_HOST}, '/', regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1), '/', regexp_replace({_FILE}, '[.]html$', ''),
+  CASE WHEN {_QUERY} <> '' THEN concat('__', substr(sha1({_QUERY}), 1, 8)) ELSE '' END, CASE WHEN {_FILE} LIKE '%.html' THEN '.html' ELSE {_BY_TYPE} END)"""

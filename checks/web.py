@@ -405,18 +405,12 @@ check(
 
 # -- save paths --------------------------------------------------------------
 
-_FILE = "regexp_extract(url, '^https?://[^/]+/[^/]+/([^/?#]*)', 1)"
-_QUERY = "regexp_extract(url, '[?]([^#]*)', 1)"
-_BY_TYPE = """CASE WHEN content_type LIKE '%html%' THEN '.html' WHEN content_type LIKE '%javascript%' THEN '.js' WHEN content_type LIKE '%json%' THEN '.json'
-  WHEN content_type LIKE '%xml%' THEN '.xml' WHEN content_type LIKE '%css%' THEN '.css' ELSE '.bin' END"""
-PATH_SQL = f"""concat({HOST}, '/', regexp_extract(url, '^https?://[^/]+/([^/]+)/', 1), '/', regexp_replace({_FILE}, '[.]html$', ''),
-  CASE WHEN {_QUERY} <> '' THEN concat('__', substr(sha1({_QUERY}), 1, 8)) ELSE '' END, CASE WHEN {_FILE} LIKE '%.html' THEN '.html' ELSE {_BY_TYPE} END)"""
-check("save_path", f"WITH {t.pages_sql()} SELECT capture_id, {PATH_SQL} AS relative_path FROM site")(
+check("save_path", f"WITH {t.pages_sql()} SELECT capture_id, {t.PATH_SQL} AS relative_path FROM site")(
     lambda spark, sf: with_relative_path(t.pages(spark, sf)).select(ID, "relative_path")
 )
 check(
     "save_manifest",
-    f"""WITH {t.pages_sql()} SELECT CAST(capture_id AS INT) AS ord, concat_ws(chr(9), lpad(CAST(capture_id AS VARCHAR), 6, '0'), CAST(status AS VARCHAR), content_type, url, {PATH_SQL}) AS value FROM site""",
+    f"""WITH {t.pages_sql()} SELECT CAST(capture_id AS INT) AS ord, concat_ws(chr(9), lpad(CAST(capture_id AS VARCHAR), 6, '0'), CAST(status AS VARCHAR), content_type, url, {t.PATH_SQL}) AS value FROM site""",
 )(lambda spark, sf: manifest_lines(manifest(t.pages(spark, sf), ID)))
 check(
     "save_scope",
