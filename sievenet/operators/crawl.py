@@ -41,20 +41,31 @@ class Crawl(NamedTuple):
     """Fetched queue rows without a capture."""
 
 
+def write_counted(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """Store rows; the stored table and its size, counted while writing."""
+    written = Observation()
+    rows.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), written.get["n"]
+
+
 def number_rows(rows: DataFrame, order: Sequence[str], start: int, limit: int, name: str = "queue_ord") -> DataFrame:
     """Dense numbers ``start+1 ...`` by ``order`` for the first ``limit`` rows.
 
-    Small limits use a top-k and one window.  Larger ones sort in ranges: each
-    range is stored, counted, and its rows offset by the ranges before it.
+    Small limits use a top-k and one window.  Under larger ones the rows are
+    stored and counted, and numbered the same way if few.  Otherwise they are
+    sorted in ranges; each range is offset by the sizes of those before it.
     """
+    if limit > ONE_TASK_ROWS:
+        rows, found = write_counted(rows, new_dir(rows.sparkSession, "unnumbered"))
+        limit = min(limit, found)
     if limit <= ONE_TASK_ROWS:
         top = rows.orderBy(*order).limit(limit)
         return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") + F.lit(start))
-    spark = rows.sparkSession
-    stored = new_dir(spark, "ranges")
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.withColumn("_id", F.monotonically_increasing_id()).write.parquet(stored)
-    sorted_rows = spark.read.parquet(stored).withColumn("_range", F.shiftright("_id", 33))
+    sorted_rows, _ = write_counted(
+        ranged.withColumn("_id", F.monotonically_increasing_id()), new_dir(rows.sparkSession, "ranges")
+    )
+    sorted_rows = sorted_rows.withColumn("_range", F.shiftright("_id", 33))
     counts = sorted_rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -225,18 +236,14 @@ def crawl(
     def wave_path(depth: int) -> str:
         return f"{root}/queue/wave={depth}"
 
-    def stored(last: int, first: int = 0) -> DataFrame:
-        paths = [wave_path(d) for d in range(first, last + 1)]
-        return spark.read.schema(schema).parquet(*paths)
+    def stored(last: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(*(wave_path(d) for d in range(last + 1)))
 
     def store(rows: DataFrame, depth: int) -> tuple[DataFrame, int]:
-        written = Observation()
-        rows.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(wave_path(depth))
-        return stored(depth, depth), written.get["n"]
+        return write_counted(rows, wave_path(depth))
 
-    frontier.select(*_QUEUE).write.parquet(f"{root}/seeds")
-    seeds = spark.read.parquet(f"{root}/seeds")
-    first = _mark_first(number_rows(seeds, ["queue_ord"], 0, seeds.count())).select(*_QUEUE, "fetched")
+    seeds, given = write_counted(frontier.select(*_QUEUE), f"{root}/seeds")
+    first = _mark_first(number_rows(seeds, ["queue_ord"], 0, given)).select(*_QUEUE, "fetched")
     schema = first.schema
     wave, queued = store(first, 0)
     discover = discover or discovery_is_on(wave)
