@@ -100,11 +100,18 @@ def fetch(queue: DataFrame, captures: DataFrame, rows: int | None = None) -> Dat
     return hit.select("queue_ord", "depth", *columns)
 
 
-def missing(queue: DataFrame, captures: DataFrame) -> DataFrame:
-    """Queue rows no capture answers."""
-    known = captures.select("method", urls.without_fragment(F.col("url")).alias("_key"))
-    asked = queue.withColumn("_key", urls.without_fragment(F.col("url")))
-    return asked.join(known, ["method", "_key"], "left_anti").select(*queue.columns)
+def missing(queue: DataFrame, captures: DataFrame, rows: int | None = None) -> DataFrame:
+    """Queue rows no capture answers.
+
+    The queue meets the captures' keys first, so that only what is found, never
+    the capture table, takes part in the anti join.
+    """
+    key = urls.without_fragment(F.col("url")).alias("_key")
+    asked = queue.select("queue_ord", "method", key)
+    if rows is not None and fits_broadcast(rows):
+        asked = F.broadcast(asked)
+    found = captures.select("method", key).join(asked, ["method", "_key"]).select("queue_ord").distinct()
+    return queue.join(found, "queue_ord", "left_anti")
 
 
 def _mark_first(queue: DataFrame) -> DataFrame:
@@ -274,7 +281,7 @@ def crawl(
         queued += rows
     queue = stored(depth)
     asked = queue.where("fetched").drop("fetched")
-    unreachable = missing(asked, captures)
+    unreachable = missing(asked, captures, queued)
     if strict and not discover and not unreachable.isEmpty():
         raise ValueError("a seed has no capture and discovery is off")
     return Crawl(queue, fetch(asked, captures, queued), unreachable)

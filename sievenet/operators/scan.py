@@ -50,6 +50,14 @@ def _holds(text: Column, regex: SparkRegex) -> Column | None:
     return reduce(lambda a, b: a & b, clauses)
 
 
+def _possible(rows: DataFrame, text: str, compiled) -> DataFrame:
+    """Drop bodies, then lines, that lack what every pattern needs."""
+    guards = [_holds(F.col(text), regex) for _, _, regex in compiled]
+    if any(guard is None for guard in guards):
+        return rows
+    return rows.where(reduce(lambda a, b: a | b, guards))
+
+
 def _matches(line: Column, regex: SparkRegex, dedup: bool) -> Column:
     found = F.regexp_extract_all(line, F.lit(regex.java), F.lit(0))
     if dedup:
@@ -105,11 +113,9 @@ def scan(
     names = [*through, *(name for name in wanted if name in lineage)]
 
     body = T.as_text(F.col("body"))
-    rows = captures.select(*through, *carried, body.alias("_text"))
-    guards = [_holds(F.col("_text"), regex) for _, _, regex in compiled]
-    if all(guard is not None for guard in guards):
-        rows = rows.where(reduce(lambda a, b: a | b, guards))
-    per_line = rows.select(*names, F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
+    rows = _possible(captures.select(*through, *carried, body.alias("_text")), "_text", compiled)
+    split = rows.select(*names, F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
+    per_line = _possible(split, "_line", compiled)
 
     hits = F.array(
         *(
