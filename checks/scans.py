@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from checks import tables as t
 from sievenet.functions import text as T
 from sievenet.operators.scan import lines, scan, top_findings
-from sievenet.schemas import FINDING_FIELDS
 from sievenet.session import new_dir
-from sievenet.sinks.corpus import corpus_rows, manifest, manifest_lines, read_corpus, write_corpus
-from sievenet.sinks.findings import CSV_OPTIONS, json_lines, plain_lines, stream_findings, write_findings
+from sievenet.sinks.corpus import read_corpus, write_corpus
+from sievenet.sinks.findings import CSV_OPTIONS, stream_findings, write_findings
 from sievenet.sources.captures import normalize_captures
-from sievenet.sources.patterns import Pattern, assemble, find_by_names, packaged_patterns, parse_catalog, select_patterns
+from sievenet.sources.patterns import assemble, find_by_names, packaged_patterns, parse_catalog, select_patterns
 from sievenet.sources.saved import find_scan_dirs, read_saved_scans, resolve_saved_scans
 
 QUERIES, ORACLES = {}, {}
