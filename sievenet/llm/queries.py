@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievenet.llm import decontaminate, jaccard, substrings
+from sievenet.llm import decontaminate, jaccard, lines, substrings
 from sievenet.llm.tables import table
 
 
@@ -22,10 +22,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op4_benchmark_decontamination,
     op5_ngram_jaccard_join,
     op6_substring_dedup,
+    op10_line_dedup,
 )}
 
 ORACLES: dict[str, str] = {}
