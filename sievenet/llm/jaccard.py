@@ -22,7 +22,9 @@ from sievenet.llm.tables import saved, sized_join
 from sievenet.llm.words import FOLDED_WORDS, U64, Chunk, chunks, grams, mix, signed
 
 RATIO = 1.5  # sizes of a class lie within this factor
+SKETCH = 8  # 64-bit words of a set's parity sketch
 SPARE = 1.05  # share of fragments that may be empty without becoming candidates' only match
+DENSE = 64  # comparisons per posting up to which all pairs that are apart are tested
 OVERLAP_CUT = 1024  # n-grams of a set in one vertical partition, about
 
 
@@ -36,6 +38,12 @@ def _sets(chunk: Chunk, words: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i, grams(chunk.hashes[a:b], b - a)[:1] if b > a else np.zeros(0, U64)
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    """For each of SKETCH * 64 slots, whether an odd number of n-grams falls in it.  Two sketches differ in no more bits than their sets in n-grams."""
+    odd = np.bincount((own & U64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Signatures:
     """Fragment signatures of a set of n-gram hashes for a threshold."""
 
@@ -75,23 +83,24 @@ class Signatures:
 
 
 def _summaries(docs: DataFrame, words: int, signatures: Signatures) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, and its signatures."""
+    """doc_id, n_shingles, two fingerprints of the set, its parity sketch and its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column("text"), FOLDED_WORDS):
-                sizes, one, two, all_signatures = [], [], [], []
+                sizes, one, two, sketches, all_signatures = [], [], [], [], []
                 for _, own in _sets(chunk, words):
                     sizes.append(len(own))
                     one.append(int(signed(np.sum(mix(own), dtype=U64).reshape(1))[0]))
                     two.append(int(signed(np.sum(mix(own ^ U64(0x5851F42D4C957F2D)), dtype=U64).reshape(1))[0]))
+                    sketches.append(_parities(own))
                     all_signatures.append(signed(signatures.of(own)))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in all_signatures])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_signatures)))
                 ids = batch.column("doc_id").slice(chunk.first, len(sizes))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], names=["doc_id", "n_shingles", "f1", "f2", "signatures"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), lists], names=["doc_id", "n_shingles", "f1", "f2", "sketch", "signatures"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, signatures array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch array<bigint>, signatures array<bigint>")
 
 
 def _levels(size: int, t: Fraction) -> range:
@@ -128,16 +137,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, t: Fraction) -> Dat
     one = parts.select(F.col("doc_id").alias("a"), "level", "part", F.col("grams").alias("of_a"))
     two = parts.select(F.col("doc_id").alias("b"), "level", "part", F.col("grams").alias("of_b"))
     counted = pairs.withColumn("level", level).join(one, ["a", "level"]).join(two, ["b", "level", "part"])
-    overlaps = counted.select("a", "b", "sa", "sb", F.size(F.array_intersect("of_a", "of_b")).alias("n")).groupBy("a", "b", "sa", "sb").agg(F.sum("n").alias("both"))
+    partial = counted.select("a", "b", "sa", "sb", "part", F.size(F.array_intersect("of_a", "of_b")).alias("n")).groupBy("a", "b", "sa", "sb", "part").agg(F.max("n").alias("n"))  # once for repeated rows
+    overlaps = partial.groupBy("a", "b", "sa", "sb").agg(F.sum("n").alias("both"))
     return overlaps.where(t.denominator * F.col("both") >= t.numerator * (F.col("sa") + F.col("sb") - F.col("both"))).select("a", "b")
 
 
-def _pairs(rows: DataFrame, t: Fraction) -> DataFrame:
-    """Distinct pairs (a < b, with sizes) of candidate rows (doc_id, n, other, m) whose sizes allow a link."""
-    fit = (F.least("n", "m") * t.denominator >= F.greatest("n", "m") * t.numerator) & (F.col("doc_id") != F.col("other"))
+def _may_link(t: Fraction) -> F.Column:
+    """For rows (n, sketch, m, sketch_m): whether sizes allow a link, and the bits in which the sketches differ."""
+    differ = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch_m", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    sizes = F.least("n", "m") * t.denominator >= F.greatest("n", "m") * t.numerator
+    return sizes & (differ * (t.denominator + t.numerator) <= (F.col("n") + F.col("m")) * (t.denominator - t.numerator))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b, with sizes) of candidate rows (doc_id, n, other, m)."""
     first = F.col("doc_id") < F.col("other")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return rows.where(fit).select(pick("doc_id", "other").alias("a"), pick("other", "doc_id").alias("b"), pick("n", "m").alias("sa"), pick("m", "n").alias("sb")).distinct()
+    return rows.select(pick("doc_id", "other").alias("a"), pick("other", "doc_id").alias("b"), pick("n", "m").alias("sa"), pick("m", "n").alias("sb")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, denominator: int = 100) -> DataFrame:
@@ -148,10 +164,12 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
     with one representative, so copies make no pairs.  Representatives meet in fragments that are
     equal in both; in rounds each is compared with one member per fragment, chosen anew each time,
     and what is still apart is compared pair by pair, so no link between different sets is lost
-    unless its ends are joined already.
+    unless its ends are joined already.  Sketches reject most pairs that can't link before they
+    become rows.
 
     A null, empty or wordless text has no n-gram and links with nothing.  Rows without a doc_id get
-    a null component.  Rows that repeat a doc_id give a row each.  Only doc_id and text are used.
+    a null component.  A doc_id names one text; rows that repeat both give a row each.  Only doc_id and
+    text are used.
     """
     signatures = Signatures(numerator, denominator)
     t = signatures.t
@@ -160,33 +178,34 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
     classes = saved(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     copies = saved(rows.join(classes.where("copies > 1"), key).where("doc_id != rep").select("doc_id"), "copies")
     of_reps = sized_join(rows.where("n_shingles > 0 and doc_id is not null"), copies, "doc_id", "left_anti", 32)
-    spread = of_reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("signatures").alias("s"))
-    shared = spread.groupBy("s").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("s")
+    spread = of_reps.select("doc_id", F.explode("signatures").alias("s"))
+    shared = spread.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
     postings = saved(spread.join(shared, "s"), "postings")
+    known = saved(postings.select("doc_id").distinct().join(of_reps.select("doc_id", F.col("n_shingles").alias("n"), "sketch"), "doc_id"), "known")
     texts = docs.where("doc_id is not null")
 
     tried: DataFrame | None = None
     links: DataFrame | None = None
     joined = None  # (node, component)
-    turn = 0
+    turn, gained = 0, False
     while True:
         now = postings if joined is None else postings.join(joined, F.col("doc_id") == F.col("node"), "left")
-        now = now.select("s", "doc_id", "n", F.col("doc_id").alias("c") if joined is None else F.coalesce("component", "doc_id").alias("c"))
+        now = now.select("s", "doc_id", F.col("doc_id").alias("c") if joined is None else F.coalesce("component", "doc_id").alias("c"))
         per = now.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         apart = saved(per.where("k * k > kk"), "apart")
         left, members = apart.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.sum("k")).first()
         if not left:
             break
-        last = turn > 0 and (left <= 2 * members or not gained)  # noqa: F821
-        now = now.join(apart.select("s"), "s")
+        last = turn > 0 and (left <= DENSE * members or not gained)
+        now = now.join(apart.select("s"), "s").join(known, "doc_id")
+        other = lambda frame: frame.select("s", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("sketch_m"), F.col("c").alias("d"))  # noqa: E731, B023
         if last:
-            other = now.select("s", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
-            candidates = now.join(other, (now.s == other.s) & (now.doc_id < other.other) & (now.c != other.d) & (F.col("n") * t.denominator >= F.col("m") * t.numerator) & (F.col("m") * t.denominator >= F.col("n") * t.numerator)).select("doc_id", "n", "other", "m")
+            candidates = now.join(other(now), "s").where((F.col("doc_id") < F.col("other")) & (F.col("c") != F.col("d")) & _may_link(t))
         else:
             rank = F.lit(0).cast("long") if not turn else F.xxhash64("doc_id", "s", F.lit(turn))
-            hubs = now.groupBy("s").agg(F.min(F.struct(rank.alias("rank"), F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("hub")).select("s", "hub.other", "hub.m", "hub.d")
-            candidates = now.join(hubs, "s").where("c != d").select("doc_id", "n", "other", "m")
-        pairs = _pairs(candidates, t)
+            hubs = now.groupBy("s").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "n", "sketch", "c")).alias("hub")).select("s", "hub.*")
+            candidates = now.join(other(hubs), "s").where((F.col("c") != F.col("d")) & _may_link(t))
+        pairs = _pairs(candidates.select("doc_id", "n", "other", "m"))
         pairs = saved(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         found = saved(_verified(texts, pairs, words, t), "links")
         gained = not found.isEmpty()
