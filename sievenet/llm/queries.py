@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievenet.llm import decontaminate, jaccard, language, lines, mixing, substrings, urlgraph, warc
+from sievenet.llm import decontaminate, jaccard, language, lines, mixing, substrings, urlgraph, vectors, warc
 from sievenet.llm.tables import table
 
 
@@ -30,6 +30,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op4_benchmark_decontamination,
     op5_ngram_jaccard_join,
     op6_substring_dedup,
+    op7_embedding_near_dedup,
     op8_warc,
     op9_url_filters,
     op10_line_dedup,
