@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievenet.llm import decontaminate, jaccard, language, lines, mixing, substrings, urlgraph, vectors, warc
+from sievenet.llm import decontaminate, jaccard, language, licences, lines, mixing, substrings, urlgraph, vectors, warc
 from sievenet.llm.tables import table
 
 
+def op1_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_licence_scans,
     op2_mixing,
     op3_language_id,
     op4_benchmark_decontamination,
