@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sievenet.llm.words import U64, mix
 
@@ -113,17 +114,16 @@ def train(docs: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE, **l
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score (0 to 1); only text is used.
+    """row (a struct of all columns of docs), lang_pred and score (0 to 1); only text is used.
 
     A text that is null or without any letter is `und` with score 0; so is every text if nothing was learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-    names = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = pickle.loads(shared.value)
         for batch in batches:
-            texts, letters = batch.column("__text").to_pylist(), batch.column("__letter").to_pylist()
+            texts, letters = batch.column("text").to_pylist(), batch.column("letter").to_pylist()
             found, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             some = [i for i, letter in enumerate(letters) if letter and learned.languages]
             if some:
@@ -131,13 +131,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 for i, row in zip(some, values, strict=True):
                     best = int(row.argmax())
                     found[i], score[i] = learned.languages[best], min(1.0, max(0.0, float(row[best])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    clash = {"lang_pred", "score"} & set(names)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    given = docs.select("*", F.col("text").alias("__text"), F.coalesce(_letter(), F.lit(False)).alias("__letter"))
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), F.coalesce(_letter(), F.lit(False)).alias("letter"))
+    schema = StructType([given.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return given.mapInArrow(run, schema)
 
 
@@ -148,10 +145,10 @@ def held_out() -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row, learned from rows that are not held out."""
     model = train(docs.where(~held_out()))
-    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """docs without the rows whose language is unknown: null texts and texts without a letter.  Columns stay."""
     model = train(docs.where(~held_out()))
-    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select("row.*")

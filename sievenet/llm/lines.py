@@ -36,7 +36,7 @@ def _chunks(docs: DataFrame, spacing: int) -> DataFrame:
 
 
 def _attached(docs: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    """docs with mark, joined to a stored table of lists by row; lists are broadcast where their counted size allows it."""
+    """Rows (doc_id, text, ...) with mark, joined to a stored table of lists by row; lists are broadcast where their counted size allows it."""
     weight = lists.agg(F.sum(F.size(column) * 40 + 64)).first()[0] or 0
     return docs.withColumn("mark", F.xxhash64("text")).join(F.broadcast(lists) if weight <= BROADCAST_BYTES else lists, KEY, how)
 
@@ -65,29 +65,31 @@ def removable(docs: DataFrame, spacing: int = SPACING, least: int = LEAST) -> Da
 
 
 def without_repeats(docs: DataFrame, spacing: int = SPACING, least: int = LEAST) -> DataFrame:
-    """docs with n_lines, n_removed and kept_text.
+    """row (a struct of all columns of docs), n_lines, n_removed and kept_text.
 
     A text's lines are what newlines part: an empty text is one empty line, a null text has none and its
     kept_text is null.  Rows without a doc_id keep all lines and take none from others.  Rows with the
-    same doc_id and text count as one, so both keep what one keeps.  Columns of docs stay.
+    same doc_id and text count as one, so both keep what one keeps.
     """
     gone = saved(removable(docs, spacing, least), "gone")
-    rows = _attached(docs, gone, "gone", "left").withColumn("__lines", F.split("text", "\n", -1))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    rows = _attached(packed, gone, "gone", "left").withColumn("lines", F.split("text", "\n", -1))
     index = F.flatten(F.transform("gone", lambda g: F.sequence(g.start, g.start + g.size - 1)))
-    rows = rows.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), index))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long")
+    rows = rows.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), index))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
     removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(index)).cast("long")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], n.alias("n_lines"), removed.alias("n_removed"), kept.alias("kept_text"))
+    return rows.select("row", n.alias("n_lines"), removed.alias("n_removed"), kept.alias("kept_text"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (null for a null text) of each row of docs."""
-    return without_repeats(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return without_repeats(docs.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text replaced by its kept lines, and n_chars by the new length where there is such a column."""
-    rows = without_repeats(docs)
-    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return rows.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    """docs with text replaced by its kept lines, and n_chars by the new length where lines went.  Other columns stay."""
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return without_repeats(docs).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -149,13 +149,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs, each row as often as it has copies.  Rows that agree in doc_id, source and text count as one, repeated."""
-    key = ["doc_id", "mark"]
-    copies = saved(mix(docs).groupBy(*key, "source").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")), "copies").withColumnRenamed("source", "__source")
-    rows = docs.withColumn("mark", F.xxhash64("text"))
-    if not copies.where("__rows > 1").isEmpty():
-        rows = rows.dropDuplicates([*key, "source"])
-    met = F.col("__source").eqNullSafe(rows.source) & (copies.mark == rows.mark) & copies.doc_id.eqNullSafe(rows.doc_id)
-    out = rows.join(copies.where("__copies > 0"), met)
-    return out.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("copy"))
+    """docs, each row as often as it has copies, and copy, from 1, in place of a column of that name.
 
+    Rows that agree in doc_id, source and text count as one, repeated.
+    """
+    key = ["doc_id", "mark", "source"]
+    copies = saved(mix(docs).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("mark"), "source")
+    if not copies.where("rows > 1").isEmpty():
+        rows = rows.dropDuplicates(key)
+    met = copies.source.eqNullSafe(rows.source) & (copies.mark == rows.mark) & copies.doc_id.eqNullSafe(rows.doc_id)
+    out = rows.join(copies.where("copies > 0"), met).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "copy"], "copy")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievenet.llm.tables import BROADCAST_BYTES, saved, small_enough
+from sievenet.llm.tables import saved, small_enough
 from sievenet.llm.words import PLAIN_WORDS, U64, Chunk, chunks, mix, signed
 
 WINDOW = 13
@@ -153,14 +153,12 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def _texts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, Chunk, int, int, int, np.ndarray | None]]:
-    """Row, chunk, first and end word, fingerprint, and anchors of each text; no anchors where it is too short or a whole copy."""
-    copies = batch.column("copies").to_pylist()
+    """Row, chunk, first and end word, fingerprint, and anchors of each text; no anchors where it is too short."""
     for chunk in chunks(batch.column("text"), PLAIN_WORDS):
         marks = _fingerprints(chunk)
         small = chunk.grams(min(ANCHOR, window))
         for (i, a, b), mark in zip(chunk.texts(), marks, strict=True):
-            short = b - a < window or mark in (copies[i] or ())
-            yield i, chunk, a, b, mark, None if short else _anchors(small[a : b - min(ANCHOR, window) + 1], window)
+            yield i, chunk, a, b, mark, None if b - a < window else _anchors(small[a : b - min(ANCHOR, window) + 1], window)
 
 
 def _sequences(rows: DataFrame) -> DataFrame:
@@ -176,18 +174,19 @@ def _sequences(rows: DataFrame) -> DataFrame:
 
 
 def _anchor_lists(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id and its distinct anchors."""
+    """doc_id, fingerprint and distinct anchors of each text that has a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, ids, lists = batch.column("doc_id").to_pylist(), [], []
-            for i, _, _, _, _, anchors in _texts(batch, window):
+            names, ids, own, lists = batch.column("doc_id").to_pylist(), [], [], []
+            for i, _, _, _, mark, anchors in _texts(batch, window):
                 if anchors is not None:
                     ids.append(names[i])
+                    own.append(mark)
                     lists.append(np.unique(anchors))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(lists)], names=["doc_id", "anchors"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64()), _lists(lists)], names=["doc_id", "mark", "anchors"])
 
-    return rows.mapInArrow(run, "doc_id bigint, anchors array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, mark bigint, anchors array<bigint>")
 
 
 def _shared_blocks(rows: DataFrame, window: int, with_words: bool) -> DataFrame:
@@ -279,16 +278,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bare = docs.select("doc_id", "text")
     sequences = saved(_sequences(bare).where("doc_id is not null"), "sequences")
     first = sequences.where(F.col("n_words") >= window).groupBy("mark", "n_words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copies = saved(sequences.join(first, ["mark", "n_words"]).where("doc_id != low").groupBy("doc_id").agg(F.collect_set("mark").alias("copies")), "copies")
-    attached = lambda frame, extra: frame.join(F.broadcast(extra) if small_enough(extra, 96) else extra, "doc_id", "left")
-    rows = attached(bare, copies)
-    ids = F.col("doc_id").isNotNull()
+    copies = saved(sequences.join(first, ["mark", "n_words"]).where("doc_id != low").select("doc_id", "mark").distinct(), "copies")
+    named = bare.where("doc_id is not null")
 
-    spread = _anchor_lists(rows.where(ids), window).select("doc_id", F.explode("anchors").alias("anchor"))
+    lists = _anchor_lists(named, window).join(F.broadcast(copies) if small_enough(copies, 64) else copies, ["doc_id", "mark"], "left_anti")
+    spread = lists.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = spread.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     marked = saved(spread.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "marked")
-    weight = marked.agg(F.sum(F.size("anchors") * 8 + 64)).first()[0] or 0
-    candidates = rows.where(ids).join(F.broadcast(marked) if weight <= BROADCAST_BYTES else marked, "doc_id")
+    candidates = named.join(marked, "doc_id")
 
     distinct = saved(_shared_blocks(candidates, window, True).groupBy("anchor", "block", "words").agg(F.min("doc_id").alias("low")), "blocks")
     hot = saved(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("anchor"), "hot")
@@ -299,9 +296,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     occurrences = _shared_blocks(candidates, window, False).select("doc_id", "block").distinct()
     taken = F.aggregate(F.transform("lows", lambda low, i: F.when(low < F.col("doc_id"), F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x + y)
     flags = occurrences.join(matched, "block").select("doc_id", "block", taken.alias("bits")).where("bits != 0")
-    flagged = saved(flags.groupBy("doc_id").agg(F.collect_list(F.struct("block", "bits")).alias("flags")), "flags")
-    weight = flagged.agg(F.sum(F.size("flags") * 32 + 64)).first()[0] or 0
-    judged = rows.join(F.broadcast(flagged) if weight <= BROADCAST_BYTES else flagged, "doc_id", "left")
+    gone = copies.select("doc_id", "mark", F.lit(None).cast("struct<block:bigint,bits:bigint>").alias("flag")).unionByName(flags.select("doc_id", F.lit(None).cast("bigint").alias("mark"), F.struct("block", "bits").alias("flag")))
+    gone = saved(gone.groupBy("doc_id").agg(F.collect_set("mark").alias("copies"), F.collect_list("flag").alias("flags")), "gone")
+    judged = bare.join(gone, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
