@@ -24,8 +24,8 @@ from sievenet.llm.words import U64, mix
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 600  # training texts of a language, on average at most
 CHARS_PER_LANGUAGE = 1_500_000  # and their characters
-LANDMARKS = 160
-RIDGE = 1e-2
+LANDMARKS = 400
+RIDGE = 1e-3
 UNKNOWN = "und"
 PIECE = 1 << 18  # characters whose n-grams are listed at once
 
@@ -60,24 +60,33 @@ class Model:
         each = max(2, landmarks // max(1, len(self.languages)))
         chosen = [i for own in by_language.values() for i in own[:: max(1, len(own) // each)][:each]]
         self.vocabulary = np.unique(np.concatenate([sets[i] for i in chosen])) if chosen else np.zeros(0, U64)
-        held = np.zeros((len(self.vocabulary), len(chosen)), np.float32)
-        for column, i in enumerate(chosen):
-            held[np.searchsorted(self.vocabulary, sets[i]), column] = 1 / norms[i]
+        # landmarks that hold each n-gram, as one list cut at firsts
+        grams_of = np.concatenate([np.searchsorted(self.vocabulary, sets[i]) for i in chosen]) if chosen else np.zeros(0, int)
+        holder = np.repeat(np.arange(len(chosen)), [len(sets[i]) for i in chosen])
+        order = np.argsort(grams_of, kind="stable")
+        grams_of, holder = grams_of[order], holder[order]
+        firsts = np.searchsorted(grams_of, np.arange(len(self.vocabulary) + 1))
         kernel = np.zeros((len(rows), len(chosen)))
+        scale = norms[chosen]
         for i, own in enumerate(sets):
-            kernel[i] = held[self._known(own)].sum(0) / norms[i]
+            known = self._known(own)
+            sizes = firsts[known + 1] - firsts[known]
+            at = np.repeat(firsts[known] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            kernel[i] = np.bincount(holder[at], minlength=len(chosen)) / (norms[i] * scale)
         values, vectors = np.linalg.eigh(kernel[chosen]) if chosen else (np.zeros(0), np.zeros((0, 0)))
         good = values > 1e-8 * max(values.max(initial=0), 1e-12)
         white = vectors[:, good] / np.sqrt(values[good])
         features = kernel @ white
-        middle = features.mean(0) if len(rows) else np.zeros(white.shape[1])
         goal = np.array([[1.0 if language == x else 0.0 for x in self.languages] for language, _ in rows]).reshape(len(rows), -1)
         balance = np.array([len(rows) / (len(self.languages) * len(by_language[language])) for language, _ in rows])[:, None]
+        middle = (balance * features).sum(0) / max(1e-12, balance.sum())
         centred = features - middle
         base = (balance * goal).sum(0) / max(1e-12, balance.sum())
         solved = np.linalg.solve(centred.T @ (balance * centred) + ridge * np.eye(white.shape[1]), centred.T @ (balance * (goal - base))) if len(rows) else np.zeros((0, 0))
         self.bias = base - middle @ solved if len(rows) else np.zeros(0)
-        self.weights = held.astype(float) @ (white @ solved) if len(rows) else np.zeros((0, 0))
+        self.weights = np.zeros((len(self.vocabulary), len(self.languages)))
+        if len(rows):
+            np.add.at(self.weights, grams_of, ((white @ solved) / scale[:, None])[holder])
 
     def _known(self, own: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
