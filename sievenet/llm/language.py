@@ -25,7 +25,7 @@ ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 600  # training texts of a language, on average at most
 CHARS_PER_LANGUAGE = 1_500_000  # and their characters
 LANDMARKS = 400
-RIDGE = 1e-3
+RIDGE = 0.1
 UNKNOWN = "und"
 PIECE = 1 << 18  # characters whose n-grams are listed at once
 
@@ -54,14 +54,17 @@ class Model:
     def __init__(self, rows: list[tuple[str, str]], landmarks: int, ridge: float):
         rows = sorted(rows)
         self.languages = sorted({language for language, _ in rows})
+        self.vocabulary, self.weights, self.bias = np.zeros(0, U64), np.zeros((0, 0)), np.zeros(0)
+        if not rows:
+            return
         sets = [presence(text) for _, text in rows]
         norms = np.sqrt(np.maximum(1, [len(s) for s in sets]))
         by_language = {x: [i for i, (language, _) in enumerate(rows) if language == x] for x in self.languages}
         each = max(2, landmarks // max(1, len(self.languages)))
         chosen = [i for own in by_language.values() for i in own[:: max(1, len(own) // each)][:each]]
-        self.vocabulary = np.unique(np.concatenate([sets[i] for i in chosen])) if chosen else np.zeros(0, U64)
+        self.vocabulary = np.unique(np.concatenate([sets[i] for i in chosen]))
         # landmarks that hold each n-gram, as one list cut at firsts
-        grams_of = np.concatenate([np.searchsorted(self.vocabulary, sets[i]) for i in chosen]) if chosen else np.zeros(0, int)
+        grams_of = np.concatenate([np.searchsorted(self.vocabulary, sets[i]) for i in chosen])
         holder = np.repeat(np.arange(len(chosen)), [len(sets[i]) for i in chosen])
         order = np.argsort(grams_of, kind="stable")
         grams_of, holder = grams_of[order], holder[order]
@@ -73,20 +76,19 @@ class Model:
             sizes = firsts[known + 1] - firsts[known]
             at = np.repeat(firsts[known] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             kernel[i] = np.bincount(holder[at], minlength=len(chosen)) / (norms[i] * scale)
-        values, vectors = np.linalg.eigh(kernel[chosen]) if chosen else (np.zeros(0), np.zeros((0, 0)))
+        values, vectors = np.linalg.eigh(kernel[chosen])
         good = values > 1e-8 * max(values.max(initial=0), 1e-12)
         white = vectors[:, good] / np.sqrt(values[good])
         features = kernel @ white
-        goal = np.array([[1.0 if language == x else 0.0 for x in self.languages] for language, _ in rows]).reshape(len(rows), -1)
+        goal = np.array([[1.0 if language == x else 0.0 for x in self.languages] for language, _ in rows])
         balance = np.array([len(rows) / (len(self.languages) * len(by_language[language])) for language, _ in rows])[:, None]
         middle = (balance * features).sum(0) / max(1e-12, balance.sum())
         centred = features - middle
         base = (balance * goal).sum(0) / max(1e-12, balance.sum())
-        solved = np.linalg.solve(centred.T @ (balance * centred) + ridge * np.eye(white.shape[1]), centred.T @ (balance * (goal - base))) if len(rows) else np.zeros((0, 0))
-        self.bias = base - middle @ solved if len(rows) else np.zeros(0)
+        solved = np.linalg.solve(centred.T @ (balance * centred) + ridge * np.eye(white.shape[1]), centred.T @ (balance * (goal - base)))
+        self.bias = base - middle @ solved
         self.weights = np.zeros((len(self.vocabulary), len(self.languages)))
-        if len(rows):
-            np.add.at(self.weights, grams_of, ((white @ solved) / scale[:, None])[holder])
+        np.add.at(self.weights, grams_of, ((white @ solved) / scale[:, None])[holder])
 
     def _known(self, own: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
