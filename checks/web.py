@@ -244,8 +244,8 @@ _SEEDS_SQL = f"""{_TARGETS_SQL}, schemes AS (SELECT *, CASE k WHEN 1 THEN ['http
 check("scope_seeds", f"WITH {_SEEDS_SQL} SELECT page_id, CAST(i AS INT) AS pos, seed FROM seeded")(
     lambda spark, sf: _targets(spark, sf).select("page_id", F.posexplode("scope.seeds").alias("pos", "seed"))
 )
-check("seed_queue", f"WITH {_SEEDS_SQL} SELECT CAST(page_id * 2 + i AS BIGINT) AS queue_ord, seed AS url, target_url, 'GET' AS method FROM seeded")(
-    lambda spark, sf: build_frontier(url_requests(_targets(spark, sf), "target", "page_id")).select("queue_ord", "url", "target_url", "method")
+check("seed_queue", f"WITH {_SEEDS_SQL} SELECT hash_of AS queue_ord, CAST(i AS INT) AS seed_ord, seed AS url, target_url, 'GET' AS method FROM (SELECT *, page_id * 1000003 + 9000000000000000000 AS hash_of FROM seeded)")(
+    lambda spark, sf: build_frontier(url_requests(_targets(spark, sf).withColumn("order", F.col("page_id") * 1000003 + 9000000000000000000), "target", "order")).select("queue_ord", "seed_ord", "url", "target_url", "method")
 )
 _CANDIDATE = "CASE CAST(page_id % 3 AS INT) WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://x.') ELSE replace(url, '://', '://u@') END"
 _SCOPE = f"concat('*.', {DOMAIN}, CASE WHEN page_id % 2 = 0 THEN '/en/*' ELSE '' END)"
@@ -356,7 +356,7 @@ _NEW_SQL = f"""{_NAV_SQL}, fresh AS (SELECT child AS url, min((page_id, pos)) AS
 )
 def _closure(spark, sf):
     captures = t.linked_pages(spark, sf)
-    return crawl(captures, _all_pages(spark, sf, captures), max_crawl=1 << 40).queue.select("url", "depth", "discovered_from")
+    return crawl(captures, _all_pages(spark, sf, captures)).queue.select("url", "depth", "discovered_from")
 
 
 @check(
@@ -379,7 +379,7 @@ def _cap(spark, sf):
 )
 def _offdomain(spark, sf):
     captures = t.linked_pages(spark, sf)
-    found = crawl(captures, build_frontier(_start(captures), SCOPE), allow_off_domain=True, max_crawl=1 << 40)
+    found = crawl(captures, build_frontier(_start(captures), SCOPE), allow_off_domain=True)
     return found.queue.select("url", "depth")
 
 
@@ -410,8 +410,8 @@ check("save_path", f"WITH {t.pages_sql()} SELECT capture_id, {t.PATH_SQL} AS rel
 )
 check(
     "save_manifest",
-    f"""WITH {t.pages_sql()} SELECT CAST(capture_id AS INT) AS ord, concat_ws(chr(9), lpad(CAST(capture_id AS VARCHAR), 6, '0'), CAST(status AS VARCHAR), content_type, url, {t.PATH_SQL}) AS value FROM site""",
-)(lambda spark, sf: manifest_lines(manifest(t.pages(spark, sf), ID)))
+    f"""WITH {t.pages_sql()} SELECT capture_id + CAST(3000000000 AS BIGINT) AS ord, concat_ws(chr(9), CAST(capture_id + 3000000000 AS VARCHAR), CAST(status AS VARCHAR), content_type, url, {t.PATH_SQL}) AS value FROM site""",
+)(lambda spark, sf: manifest_lines(manifest(t.pages(spark, sf).withColumn(ID, F.col(ID) + 3_000_000_000), ID)))
 check(
     "save_scope",
     f"SELECT page_id AS capture_id, url FROM pages WHERE page_id % 2 = 1 AND regexp_matches(url, '^https?://[^/]+/en/')",

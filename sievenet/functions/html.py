@@ -74,7 +74,7 @@ def decode_entities(text: Column) -> Column:
                 token.rlike("\\A&#"),
                 F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(F.element_at(windows, code), char)),
             )
-            .when(token.rlike("\\A&."), F.coalesce(F.element_at(named, F.substring(token, 2, 64)), token))
+            .when(token.rlike("\\A&."), F.coalesce(F.element_at(named, F.substr(token, F.lit(2))), token))
             .otherwise(token)
         )
 

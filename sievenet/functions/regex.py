@@ -10,6 +10,12 @@ The same pass finds the literals every match must contain, which scans use as
 byte-level ``contains`` guards in front of the regex.  It also guards a leading
 ``[class]+`` against being retried at each character of a long run: RE2 is
 linear there, a backtracking engine is quadratic.
+
+Java repeats a group by recursion, which overflows the stack on long lines.  So
+alternatives of one character become a class, and an unbounded loop over a
+larger group becomes possessive, which is no recursion.  That keeps all
+matches if one repeat's text never begins another's and what follows can't begin
+a repeat, or if nothing follows.  Other such loops are refused.
 """
 
 from __future__ import annotations
@@ -53,6 +59,10 @@ class RegexSyntaxError(ValueError):
     """The pattern is not valid RE2 syntax."""
 
 
+class RegexLoopError(RegexSyntaxError):
+    """The pattern is valid, but a loop in it could overflow the stack on a long line."""
+
+
 @dataclass(frozen=True)
 class SparkRegex:
     """A pattern as written, its Java form, and literals each match must hold."""
@@ -146,6 +156,27 @@ class _Node:
     ranges: list[tuple[int, int]] | None = None  # of a single-character node
     run: _Node | None = None  # the repeated node, when this is an unbounded greedy or lazy run
     parts: list[_Node] | None = None  # of a group with one branch
+    first: list[tuple[int, int]] | None = None  # what a match can begin with, if known
+    delimited: bool = False  # no match is the beginning of another
+    tail: list[tuple[int, int]] | None = None  # or only by more of this class, which ends it
+    size: int | None = None  # characters, where all matches have as many
+    fixed: bool = False  # one character after another, no choices
+    loops: tuple[_Loop, ...] = ()  # loops at the end, whose follower isn't known yet
+
+    def __post_init__(self):
+        if self.ranges is not None and self.first is None:
+            self.first, self.delimited, self.fixed, self.size = self.ranges, True, True, 1
+
+
+@dataclass(frozen=True)
+class _Loop:
+    first: tuple[tuple[int, int], ...] | None
+    delimited: bool
+    tail: tuple[tuple[int, int], ...] | None = None
+
+
+def _disjoint(one, two) -> bool:
+    return one is not None and two is not None and all(b < c or d < a for a, b in one for c, d in two)
 
 
 def _best(clauses):
@@ -195,6 +226,9 @@ class _Translator:
             if top and parts and not all(p.nullable for p in parts):
                 self.guard_leading_run(parts)
             return self.join(parts)
+        if not top and all(len(parts) == 1 and parts[0].ranges is not None for parts in branches):
+            ranges = _merge([r for parts in branches for r in parts[0].ranges])
+            return _Node(_class_text(ranges), ranges=ranges)
         nodes = [self.join(parts) for parts in branches]
         clauses = [c for c in nodes[0].clauses if all(c in n.clauses for n in nodes)]
         if not clauses:
@@ -205,6 +239,10 @@ class _Translator:
             "|".join(n.java for n in nodes),
             clauses=clauses,
             nullable=any(n.nullable for n in nodes),
+            first=_merge([r for n in nodes for r in n.first]) if all(n.first is not None for n in nodes) else None,
+            delimited=all(n.delimited for n in nodes) and all(_disjoint(a.first, b.first) or a.size == b.size is not None for i, a in enumerate(nodes) for b in nodes[:i]),
+            size=nodes[0].size if len({n.size for n in nodes}) == 1 else None,
+            loops=tuple(loop for n in nodes for loop in n.loops),
         )
 
     @staticmethod
@@ -214,8 +252,43 @@ class _Translator:
         if lead.run:
             lead.java = f"(?:(?<!{lead.run.java})|\\G){lead.java}"
 
+    def settle(self, loops, following) -> tuple[_Loop, ...]:
+        """The loops that may still end the match; those that what follows could enter are refused."""
+        for loop in loops:
+            if not loop.delimited or not _disjoint(loop.first, following.first) or not (loop.tail is None or _disjoint(loop.tail, following.first)):
+                raise RegexLoopError(
+                    f"cannot run {self.source!r} on long lines: it repeats a group without bound where the end of a repeat "
+                    "is not certain; give the repeats distinct first characters, or a bound such as {0,100}"
+                )
+        return tuple(loops) if following.nullable else ()
+
+    @staticmethod
+    def starts(parts):
+        """What a sequence can begin with, or None."""
+        found = []
+        for part in parts:
+            if part.first is None:
+                return None
+            found += part.first
+            if not part.nullable:
+                return _merge(found)
+        return _merge(found)
+
     @staticmethod
-    def join(parts) -> _Node:
+    def is_delimited(parts) -> bool:
+        """Every part ends for certain: by itself, or a run of a class by what comes next."""
+        for part, after in zip(parts, [*parts[1:], None]):
+            if part.run is not None:
+                if after is None or after.nullable or not _disjoint(part.run.ranges, after.first):
+                    return False
+            elif not part.delimited or part.nullable:
+                return False
+        return bool(parts)
+
+    def join(self, parts) -> _Node:
+        loops: tuple[_Loop, ...] = ()
+        for part in parts:
+            loops = (self.settle(loops, part) if loops else ()) + part.loops
         clauses, run = [], ""
         for part in parts + [_Node("", clauses=[])]:
             if part.literal is not None:
@@ -230,6 +303,12 @@ class _Translator:
             clauses=clauses,
             nullable=all(p.nullable for p in parts),
             parts=list(parts),
+            first=self.starts(parts),
+            delimited=self.is_delimited(parts),
+            tail=parts[-1].run.ranges if parts and parts[-1].run and (len(parts) == 1 or self.is_delimited(parts[:-1])) else None,
+            size=sum(p.size for p in parts) if all(p.size is not None for p in parts) else None,
+            fixed=all(p.fixed for p in parts),
+            loops=loops,
         )
 
     def sequence(self) -> list[_Node]:
@@ -284,6 +363,14 @@ class _Translator:
         suffix = "?" if lazy != self.flags["U"] else ""
         if not suffix and most is None and least < 2 and self.absorbs_repeats(node):
             text = "" if least else "?"
+        loops = node.loops
+        if text and most is None and node.ranges is None and not node.fixed and not self.is_class(node):
+            if suffix or (least > 1 and not node.delimited):
+                self.settle((_Loop(None, False),), node)
+            suffix, again = "+", self.loop_over(node)
+            loops = self.settle(node.loops, node) + (again,)
+        elif text and loops and most != 1:
+            loops = self.settle(loops, node) + loops
         clauses = []
         if least > 0:
             clauses = [frozenset([node.literal])] if node.literal is not None else node.clauses
@@ -292,8 +379,24 @@ class _Translator:
             clauses=clauses,
             nullable=least == 0 or node.nullable,
             run=node if node.ranges is not None and most is None else None,
+            first=node.first,
+            delimited=node.delimited and least == most,
+            size=node.size * least if node.size is not None and least == most else None,
+            fixed=node.fixed and least == most,
+            loops=loops,
         )
 
+    @staticmethod
+    def loop_over(node: _Node) -> _Loop:
+        fixed = lambda x: None if x is None else tuple(x)
+        ends = not node.delimited and not node.nullable and node.tail is not None and _disjoint(node.tail, node.first)
+        return _Loop(fixed(node.first), node.delimited or ends, fixed(node.tail) if ends else None)
+
+    @staticmethod
+    def is_class(node: _Node) -> bool:
+        """A named class, which has no known ranges but is one character."""
+        return node.java.startswith("[") and node.parts is None or node.java.startswith("(?:[") and node.parts is not None and len(node.parts) == 1 and node.parts[0].java.startswith("[") and node.parts[0].java + ")" == node.java[3:]
+
     @staticmethod
     def absorbs_repeats(node: _Node) -> bool:
         """True for ``(AB+)`` with A inside B: repeating it matches nothing new.
@@ -368,7 +471,16 @@ class _Translator:
         self.pos += 1
         self.flags = saved
         return _Node(
-            opening + inner.java + ")", clauses=inner.clauses, nullable=inner.nullable, parts=inner.parts
+            opening + inner.java + ")",
+            clauses=inner.clauses,
+            nullable=inner.nullable,
+            parts=inner.parts,
+            first=inner.first,
+            delimited=inner.delimited or inner.ranges is not None,
+            tail=inner.tail,
+            size=inner.size,
+            fixed=inner.fixed or inner.ranges is not None,
+            loops=inner.loops,
         )
 
     def inline_flags(self) -> str:

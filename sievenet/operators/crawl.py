@@ -19,15 +19,15 @@ from sievenet.functions import urls
 from sievenet.operators.links import with_resolved_links
 from sievenet.operators.scope import admits, discovery_is_on, literal_scope, scope_matches
 from sievenet.session import fits_broadcast, new_dir
+from sievenet.sources.captures import latest_captures
 from sievenet.sources.requests import inherited_headers
 
-MAX_CRAWL = 10_000
 # Up to this many rows are numbered by one task; more are numbered in ranges.
 ONE_TASK_ROWS = 200_000
-# Up to this many distinct targets become literal filters on the captures.
-LITERAL_TARGETS = 32
-
-MAX_EDGE_BUCKETS = 1024
+# Edges of a bucket, about; each bucket is written by several tasks.
+BUCKET_EDGES = 4_000_000
+BUCKET_TASKS = 4
+EVERY_ROW = (1 << 63) - 1
 
 _QUEUE = ("queue_ord", "depth", "method", "url", "headers", "target_url", "discovered_from", "scope")
 
@@ -39,13 +39,25 @@ class Crawl(NamedTuple):
     """Captures that were reached, with lineage and ``queue_ord``."""
     unreachable: DataFrame
     """Fetched queue rows without a capture."""
+    capped: bool
+    """Whether the crawl stopped at ``max_crawl`` although links were left to follow."""
+    root: str
+    """Folder of the crawl's stored tables; delete it when the frames are no longer used."""
+
 
+class Size(NamedTuple):
+    rows: int
+    bytes: int
+    """Of the rows as text, an upper guess of what a broadcast moves."""
 
-def write_counted(rows: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """Store rows; the stored table and its size, counted while writing."""
+
+def write_counted(rows: DataFrame, path: str) -> tuple[DataFrame, Size]:
+    """Store rows; the stored table and its size, measured while writing."""
     written = Observation()
-    rows.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path), written.get["n"]
+    width = F.octet_length(F.to_json(F.struct(*rows.columns))) if rows.columns else F.lit(0)
+    rows.observe(written, F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).write.parquet(path)
+    found = written.get
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), Size(found["n"], found["bytes"] or 0)
 
 
 def number_rows(rows: DataFrame, order: Sequence[str], start: int, limit: int, name: str = "queue_ord") -> DataFrame:
@@ -57,7 +69,7 @@ def number_rows(rows: DataFrame, order: Sequence[str], start: int, limit: int, n
     """
     if limit > ONE_TASK_ROWS:
         rows, found = write_counted(rows, new_dir(rows.sparkSession, "unnumbered"))
-        limit = min(limit, found)
+        limit = min(limit, found.rows)
     if limit <= ONE_TASK_ROWS:
         top = rows.orderBy(*order).limit(limit)
         return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") + F.lit(start))
@@ -74,10 +86,10 @@ def number_rows(rows: DataFrame, order: Sequence[str], start: int, limit: int, n
     return numbered.where(place <= limit).withColumn(name, place + F.lit(start)).drop("_id", "_range", "_first", "_before")
 
 
-def fetch(queue: DataFrame, captures: DataFrame, rows: int | None = None) -> DataFrame:
+def fetch(queue: DataFrame, captures: DataFrame, size: Size | None = None) -> DataFrame:
     """Queue rows joined to their captures by method and fragment-free URL.
 
-    With a known, checked number of queue rows the queue is broadcast and the
+    With a measured size that allows it the queue is broadcast and the
     captures stay in place; otherwise adaptive execution picks the join.
     """
     side = queue.select(
@@ -89,7 +101,7 @@ def fetch(queue: DataFrame, captures: DataFrame, rows: int | None = None) -> Dat
         F.col("target_url").alias("_target"),
         F.col("discovered_from").alias("_parent"),
     )
-    if rows is not None and fits_broadcast(rows):
+    if size is not None and fits_broadcast(size.bytes):
         side = F.broadcast(side)
     hit = captures.withColumn("_key", urls.without_fragment(F.col("url"))).join(side, ["method", "_key"])
     # Fragments are never sent: a page that did not redirect keeps the asked one.
@@ -100,7 +112,7 @@ def fetch(queue: DataFrame, captures: DataFrame, rows: int | None = None) -> Dat
     return hit.select("queue_ord", "depth", *columns)
 
 
-def missing(queue: DataFrame, captures: DataFrame, rows: int | None = None) -> DataFrame:
+def missing(queue: DataFrame, captures: DataFrame, size: Size | None = None) -> DataFrame:
     """Queue rows no capture answers.
 
     The queue meets the captures' keys first, so that only what is found, never
@@ -108,7 +120,7 @@ def missing(queue: DataFrame, captures: DataFrame, rows: int | None = None) -> D
     """
     key = urls.without_fragment(F.col("url")).alias("_key")
     asked = queue.select("queue_ord", "method", key)
-    if rows is not None and fits_broadcast(rows):
+    if size is not None and fits_broadcast(size.bytes):
         asked = F.broadcast(asked)
     found = captures.select("method", key).join(asked, ["method", "_key"]).select("queue_ord").distinct()
     return queue.join(found, "queue_ord", "left_anti")
@@ -120,22 +132,42 @@ def _mark_first(queue: DataFrame) -> DataFrame:
     return queue.join(first.drop("url"), "queue_ord", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
 
 
+def _hosts_below(hostname: Column) -> Column:
+    """A host name and every suffix of whole labels, down to the empty one."""
+    labels = F.split(F.lower(hostname), "\\.", -1)
+    return F.transform(F.sequence(F.lit(0), F.size(labels)), lambda k: F.array_join(F.slice(labels, k + 1, F.size(labels)), "."))
+
+
+def _fixed_tail(scope: str) -> Column:
+    """What every host of a scope ends with: the labels behind its last one that holds a ``*``."""
+    labels = F.reverse(F.col(f"{scope}.host_labels"))
+    open_ = F.array_position(F.transform(labels, lambda label: F.contains(label, F.lit("*"))), True)
+    return F.array_join(F.reverse(F.slice(labels, 1, F.when(open_ > 0, (open_ - 1).cast("int")).otherwise(F.size(labels)))), ".")
+
+
 def _reachable_pages(captures: DataFrame, seeds: DataFrame, allow_off_domain: bool) -> DataFrame:
     """Captures a wave could visit: those in some scope, and the seeds.
 
-    A few targets become literal filters evaluated while captures are read.
+    Keys are chosen on narrow columns: pages meet the targets that share an
+    ending of their host, then the scope test.  One target needs no join: it
+    is a literal filter evaluated while captures are read.
     """
     if allow_off_domain:
         return captures
-    targets = seeds.select("target_url").distinct().limit(LITERAL_TARGETS + 1).collect()
-    asked = seeds.select(urls.without_fragment(F.col("url")).alias("_key")).distinct().limit(LITERAL_TARGETS + 1).collect()
-    if len(targets) > LITERAL_TARGETS or len(asked) > LITERAL_TARGETS:
-        return captures
-    test = F.col("_key").isin(*(row["_key"] for row in asked))
-    for row in targets:
-        test = test | scope_matches(literal_scope(captures.sparkSession, row["target_url"]), F.col("_page"))
+    spark = captures.sparkSession
+    asked = seeds.select(urls.without_fragment(F.col("url")).alias("_key"))
+    targets = seeds.select("target_url").distinct().limit(2).collect()
     keyed = captures.withColumn("_key", urls.without_fragment(F.col("url"))).withColumn("_page", urls.parts_of("_key"))
-    return keyed.where(test).drop("_key", "_page")
+    if len(targets) == 1:
+        keys, size = write_counted(asked.distinct().withColumn("_seed", F.lit(True)), new_dir(spark, "seed-keys"))
+        marked = keyed.join(F.broadcast(keys) if fits_broadcast(size.bytes) else keys, "_key", "left")
+        inside = scope_matches(literal_scope(spark, targets[0]["target_url"]), F.col("_page"))
+        return marked.where(F.coalesce("_seed", F.lit(False)) | inside).select(*captures.columns)
+    scopes = seeds.select("scope").dropDuplicates().withColumn("_tail", _fixed_tail("scope"))
+    narrow = keyed.select("_key", "_page").where("_page.valid").withColumn("_tail", F.explode(_hosts_below(F.col("_page.hostname"))))
+    inside = narrow.join(scopes, "_tail").where(admits("scope", "_page")).select("_key")
+    keys, size = write_counted(inside.unionByName(asked).distinct(), new_dir(spark, "page-keys"))
+    return keyed.join(F.broadcast(keys) if fits_broadcast(size.bytes) else keys, "_key", "left_semi").select(*captures.columns)
 
 
 def build_edges(captures: DataFrame, out_scope: Sequence[str] = ()) -> DataFrame:
@@ -163,19 +195,23 @@ def edge_bucket(page: Column, buckets: int) -> Column:
     return F.pmod(F.hash(page), F.lit(buckets))
 
 
-def write_edges(captures: DataFrame, path: str, out_scope: Sequence[str] = ()) -> None:
-    """Store the edge table, partitioned by a hash of the page.
+def write_edges(captures: DataFrame, path: str, out_scope: Sequence[str] = ()) -> DataFrame:
+    """Store the edge table, partitioned by a hash of the page, and read it back.
 
-    Waves carry the same hash, so dynamic partition pruning lets a small wave
-    read only the parts its pages fall in.  The number of parts follows the
-    number of input splits; hashing spreads any host evenly.
+    The extraction stage writes with its own parallelism and measures how many
+    edges there are.  If they are many the narrow table is dealt to buckets,
+    each written by several tasks, so that dynamic partition pruning lets a small
+    wave read only the buckets its pages fall in.
     """
-    buckets = max(1, min(MAX_EDGE_BUCKETS, captures.rdd.getNumPartitions() // 8))
-    edges = build_edges(captures, out_scope).withColumn("buckets", F.lit(buckets))
-    bucketed = edges.withColumn("bucket", edge_bucket(F.col("page"), buckets))
-    if buckets > 1:
-        bucketed = bucketed.repartition(buckets, "bucket")
-    bucketed.write.partitionBy("buckets", "bucket").parquet(path)
+    spark = captures.sparkSession
+    found, size = write_counted(build_edges(captures, out_scope), f"{path}/found")
+    buckets = max(1, size.rows // BUCKET_EDGES)
+    bucketed = found.withColumn("buckets", F.lit(buckets)).withColumn("bucket", edge_bucket(F.col("page"), buckets))
+    if buckets == 1:
+        return bucketed
+    salted = bucketed.repartition(buckets * BUCKET_TASKS, "bucket", F.pmod(F.hash("link_url"), F.lit(BUCKET_TASKS)))
+    salted.write.partitionBy("buckets", "bucket").parquet(f"{path}/buckets")
+    return spark.read.schema(bucketed.schema).parquet(f"{path}/buckets")
 
 
 def _stored_buckets(edges: DataFrame) -> int | None:
@@ -183,7 +219,7 @@ def _stored_buckets(edges: DataFrame) -> int | None:
     return row["buckets"] if row else None
 
 
-def _children(wave: DataFrame, edges: DataFrame, buckets: int | None, rows: int, allow_off_domain: bool) -> DataFrame:
+def _children(wave: DataFrame, edges: DataFrame, buckets: int | None, size: Size, allow_off_domain: bool) -> DataFrame:
     """Links of a wave's pages that its scopes admit, one row per new URL."""
     page = urls.without_fragment(F.col("url"))
     keys = ["method", "page"]
@@ -199,7 +235,7 @@ def _children(wave: DataFrame, edges: DataFrame, buckets: int | None, rows: int,
         F.col("queue_ord").alias("_parent"),
         "scope",
     )
-    small = fits_broadcast(rows)
+    small = fits_broadcast(size.bytes)
     found = edges.join(F.broadcast(parents) if small else parents, keys).where(F.col("scope.wildcard") | F.col("relevant"))
     if not allow_off_domain:
         found = found.where(admits("scope", "parts"))
@@ -215,6 +251,21 @@ def _children(wave: DataFrame, edges: DataFrame, buckets: int | None, rows: int,
     return first.join(F.broadcast(inherited) if small else inherited, "_parent")
 
 
+def _wave(numbered: DataFrame, depth: int) -> DataFrame:
+    """Queue rows of numbered children."""
+    return numbered.select(
+        "queue_ord",
+        F.lit(depth).alias("depth"),
+        F.lit("GET").alias("method"),
+        "url",
+        "headers",
+        "target_url",
+        "discovered_from",
+        "scope",
+        F.lit(True).alias("fetched"),
+    )
+
+
 def crawl(
     captures: DataFrame,
     frontier: DataFrame,
@@ -222,22 +273,28 @@ def crawl(
     discover: bool = False,
     allow_off_domain: bool = False,
     out_scope: Sequence[str] = (),
-    max_crawl: int = MAX_CRAWL,
+    max_crawl: int | None = None,
     edges: DataFrame | None = None,
     strict: bool = False,
+    order: str = "capture_id",
 ) -> Crawl:
     """Follow links from a seed queue through the captures.
 
     ``frontier`` comes from :func:`sievenet.operators.scope.build_frontier`.
     Waves reproduce first-in-first-out order: children are numbered by parent
-    and link position, and none is queued once ``max_crawl`` requests are.
-    A wildcard target turns discovery on.  Captures need one row per method and
-    URL (see ``latest_captures``).  ``edges`` reuses a stored edge table.
-    ``strict`` fails the run when a seed is missing and discovery is off.
+    and link position.  By default links are followed to the end; with
+    ``max_crawl`` none is queued once that many requests are, and the result's
+    ``capped`` tells if that cut anything off.  A wildcard target turns
+    discovery on.  Of several captures of a method and URL without fragment
+    the latest by the column ``order`` is taken.  ``edges`` reuses a stored edge
+    table.  ``strict`` fails the run when a seed is missing and discovery is off.
     """
-    if max_crawl <= 0:
-        raise ValueError("max-crawl must be greater than 0")
+    if max_crawl is not None and max_crawl <= 0:
+        raise ValueError(f"a crawl needs room for one request at least, not {max_crawl}")
     spark = captures.sparkSession
+    key = urls.without_fragment(F.col("url")).alias("key")
+    if not captures.select("method", key).groupBy("method", "key").count().where("count > 1").isEmpty():
+        captures = latest_captures(captures, order)
     root = new_dir(spark, "crawl")
 
     def wave_path(depth: int) -> str:
@@ -246,42 +303,42 @@ def crawl(
     def stored(last: int) -> DataFrame:
         return spark.read.schema(schema).parquet(*(wave_path(d) for d in range(last + 1)))
 
-    def store(rows: DataFrame, depth: int) -> tuple[DataFrame, int]:
+    def store(rows: DataFrame, depth: int) -> tuple[DataFrame, Size]:
         return write_counted(rows, wave_path(depth))
 
-    seeds, given = write_counted(frontier.select(*_QUEUE), f"{root}/seeds")
-    first = _mark_first(number_rows(seeds, ["queue_ord"], 0, given)).select(*_QUEUE, "fetched")
+    seeds, given = write_counted(frontier.select(*_QUEUE, "seed_ord"), f"{root}/seeds")
+    first = _mark_first(number_rows(seeds, ["queue_ord", "seed_ord"], 0, given.rows)).select(*_QUEUE, "fetched")
     schema = first.schema
-    wave, queued = store(first, 0)
+    wave, size = store(first, 0)
+    queued, weight = size
     discover = discover or discovery_is_on(wave)
-    rows, depth = queued, 0
+    depth, capped = 0, False
     if discover and edges is None:
-        write_edges(_reachable_pages(captures, wave, allow_off_domain), f"{root}/edges", out_scope)
-        edges = spark.read.parquet(f"{root}/edges")
+        edges = write_edges(_reachable_pages(captures, wave, allow_off_domain), f"{root}/edges", out_scope)
     buckets = _stored_buckets(edges) if discover else None
-    while discover and rows and queued < max_crawl:
+    while discover and size.rows:
         seen = stored(depth).select("url")
-        fresh = _children(wave.where("fetched"), edges, buckets, rows, allow_off_domain).join(seen, "url", "left_anti")
+        fresh = _children(wave.where("fetched"), edges, buckets, size, allow_off_domain).join(seen, "url", "left_anti")
+        left = None if max_crawl is None else max_crawl - queued
+        if left is not None and left <= 0:
+            capped = not fresh.isEmpty()
+            break
         depth += 1
-        numbered = number_rows(fresh, ("_parent", "link_ord"), queued, max_crawl - queued)
-        wave, rows = store(
-            numbered.select(
-                "queue_ord",
-                F.lit(depth).alias("depth"),
-                F.lit("GET").alias("method"),
-                "url",
-                "headers",
-                "target_url",
-                "discovered_from",
-                "scope",
-                F.lit(True).alias("fetched"),
-            ),
-            depth,
-        )
-        queued += rows
+        limit = EVERY_ROW if left is None else left + 1  # one more tells whether the cap cuts
+        numbered = number_rows(fresh, ("_parent", "link_ord"), queued, limit)
+        found = _wave(numbered, depth)
+        if left is not None:
+            found, _ = write_counted(found, f"{root}/found/wave={depth}")
+            capped = not found.where(F.col("queue_ord") > max_crawl).isEmpty()
+            found = found.where(F.col("queue_ord") <= max_crawl)
+        wave, size = store(found, depth)
+        queued, weight = queued + size.rows, weight + size.bytes
+        if capped:
+            break
     queue = stored(depth)
     asked = queue.where("fetched").drop("fetched")
-    unreachable = missing(asked, captures, queued)
+    whole = Size(queued, weight)
+    unreachable = missing(asked, captures, whole)
     if strict and not discover and not unreachable.isEmpty():
-        raise ValueError("a seed has no capture and discovery is off")
-    return Crawl(queue, fetch(asked, captures, queued), unreachable)
+        raise ValueError("discovery is off and some seed was never captured")
+    return Crawl(queue, fetch(asked, captures, whole), unreachable, capped, root)

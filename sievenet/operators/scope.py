@@ -178,8 +178,8 @@ def build_frontier(requests: DataFrame, scope: str | None = None, *, order: str
     """Seed queue of a run.
 
     With ``scope`` the requests are fetched as they are; otherwise each
-    request is its own scope and stands for that scope's seeds.  ``queue_ord``
-    keeps request order, then seed order, and need not be dense.  An unusable
+    request is its own scope and stands for that scope's seeds.  The queue is
+    ordered by ``queue_ord``, the request's order, then ``seed_ord``.  An unusable
     target fails the run.
     """
     one = scope.strip() if scope else ""
@@ -191,7 +191,8 @@ def build_frontier(requests: DataFrame, scope: str | None = None, *, order: str
     seeds = F.array("url") if one else F.col("scope.seeds")
     method = F.coalesce(F.nullif(F.trim("method"), F.lit("")), F.lit("GET"))
     return rows.select("*", F.posexplode(seeds).alias("_seed", "_url")).select(
-        (F.col(order) * 2 + F.col("_seed")).cast("bigint").alias("queue_ord"),
+        F.col(order).cast("bigint").alias("queue_ord"),
+        F.col("_seed").alias("seed_ord"),
         F.lit(0).alias("depth"),
         method.alias("method"),
         F.col("_url").alias("url"),

@@ -19,11 +19,11 @@ SCOPE = (
 )
 
 FRONTIER = (
-    f"queue_ord bigint, depth int, method string, url string, headers {HEADERS}, "
+    f"queue_ord bigint, seed_ord int, depth int, method string, url string, headers {HEADERS}, "
     f"target_url string, discovered_from string, scope {SCOPE}"
 )
 
-MANIFEST = "ord int, status int, content_type string, url string, relative_path string"
+MANIFEST = "ord bigint, status int, content_type string, url string, relative_path string"
 
 FINDING_FIELDS = (
     "pattern",

@@ -43,9 +43,9 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def fits_broadcast(rows: int, row_bytes: int = 512) -> bool:
-    """Size check made before every broadcast hint; larger sides join by shuffle."""
-    return rows * row_bytes <= BROADCAST_BYTES
+def fits_broadcast(measured: int) -> bool:
+    """Size check, in measured bytes, made before every broadcast hint; larger sides join by shuffle."""
+    return measured <= BROADCAST_BYTES
 
 
 def spread(frame: DataFrame, key: str) -> DataFrame:

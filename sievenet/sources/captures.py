@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BODY = 8 << 20
 _ENCODED = ("gzip", "x-gzip", "deflate")
 
 
@@ -14,61 +13,61 @@ def content_type_of(header: Column) -> Column:
     return F.trim(F.substring_index(F.coalesce(header, F.lit("")), ";", 1))
 
 
-def _decoder(schema, body: str, encoding: str, limit: int):
-    """mapInArrow function decoding bodies; rows that do not decode are dropped."""
+def _decoder(limit: int | None):
+    """Arrow function that decodes bodies; null where one does not decode.
 
-    def decode(batches):
+    With a limit, decoding stops one byte beyond it.
+    """
+
+    def inflate(data: bytes, gzip: bool):
         import zlib
 
+        out = []
+        room = None if limit is None else limit + 1
+        while True:
+            stream = zlib.decompressobj(31 if gzip else 15)
+            try:
+                piece = stream.decompress(data) if room is None else stream.decompress(data, room)
+            except zlib.error:
+                return None
+            out.append(piece)
+            if room is not None:
+                room -= len(piece)
+                if room <= 0:
+                    break
+            if not stream.eof:
+                return None
+            data = stream.unused_data
+            if not data or not gzip:
+                break
+        return b"".join(out)
+
+    def decode(bodies, kinds):
         import pyarrow as pa
 
-        def inflate(data: bytes, gzip: bool):
-            out = b""
-            while len(out) < limit:
-                stream = zlib.decompressobj(31 if gzip else 15)
-                out += stream.decompress(data, limit - len(out))
-                if len(out) >= limit:
-                    break
-                if not stream.eof:
-                    return None
-                data = stream.unused_data
-                if not data or not gzip:
-                    break
-            return out
-
-        def flush(batch, rows, bodies):
-            kept = batch.take(pa.array(rows, pa.int64()))
-            at = kept.schema.get_field_index(body)
-            return kept.set_column(at, kept.schema.field(at), pa.array(bodies, kept.schema.field(at).type))
-
-        for batch in batches:
-            rows, bodies, size = [], [], 0
-            for row, (data, kind) in enumerate(zip(batch.column(body), batch.column(encoding))):
-                try:
-                    decoded = inflate(data.as_py() or b"", kind.as_py() != "deflate")
-                except zlib.error:
-                    decoded = None
-                if decoded is None:
-                    continue
-                rows.append(row)
-                bodies.append(decoded)
-                size += len(decoded)
-                if size >= 4 * limit:
-                    yield flush(batch, rows, bodies)
-                    rows, bodies, size = [], [], 0
-            if rows:
-                yield flush(batch, rows, bodies)
-
-    return decode
-
-
-def normalize_captures(raw: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
+        pairs = zip(bodies, kinds, strict=True)
+        return pa.array([inflate(b.as_py(), k.as_py() != "deflate") if b.is_valid else None for b, k in pairs], pa.binary())
+
+    decode.__annotations__ = _arrow_annotations()
+    return F.arrow_udf(decode, "binary")
+
+
+def _arrow_annotations() -> dict:
+    import pyarrow as pa
+
+    return {"bodies": pa.Array, "kinds": pa.Array, "return": pa.Array}
+
+
+def normalize_captures(raw: DataFrame, max_body: int | None = None, *, keep_undecoded: bool = False) -> DataFrame:
     """Capture rows from raw responses (``url``, ``body`` and what else is known).
 
-    Content types lose their parameters, gzip and deflate bodies are decoded,
-    bodies are cut at ``max_body`` bytes and missing columns get defaults.
-    Only encoded rows visit Python, in small Arrow batches; others stay in the
-    JVM.  A body that does not decode counts as not captured.
+    Content types lose their parameters, gzip and deflate bodies are decoded and
+    missing columns get defaults.  Bodies are kept whole; with ``max_body`` they
+    are cut at that many bytes and ``truncated`` tells which were.  One scan
+    serves all rows, and the decoder is a column: what does not ask for bodies
+    neither reads nor decodes them, if ``keep_undecoded`` is set.  Otherwise a
+    body that does not decode counts as not captured and its row goes; with
+    ``keep_undecoded`` it stays, with a null body.
     """
     present = set(raw.columns)
 
@@ -76,6 +75,11 @@ def normalize_captures(raw: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
         return F.coalesce(F.col(name), default) if name in present else default
 
     encoding = F.lower(F.trim(column("content_encoding", F.lit(""))))
+    plain = F.coalesce(F.col("body").cast("binary"), F.lit(b""))
+    encoded = encoding.isin(*_ENCODED)
+    body = plain
+    if "content_encoding" in present:
+        body = F.when(encoded, _decoder(max_body)(F.when(encoded, plain), encoding)).otherwise(plain)
     known = raw.select(
         (F.col("capture_id") if "capture_id" in present else F.xxhash64("url")).alias("capture_id"),
         F.when(F.trim(column("method", F.lit(""))) == "", F.lit("GET")).otherwise(F.trim(column("method", F.lit("")))).alias("method"),
@@ -87,28 +91,28 @@ def normalize_captures(raw: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
         content_type_of(F.col("content_type") if "content_type" in present else F.lit("")).alias("content_type"),
         encoding.alias("content_encoding"),
         (F.col("headers") if "headers" in present else F.lit(None).cast("map<string,array<string>>")).alias("headers"),
-        F.coalesce(F.col("body").cast("binary"), F.lit(b"")).alias("body"),
+        body.alias("body"),
     )
-    if "content_encoding" not in present:
-        return known.withColumn("body", F.substring("body", 1, max_body))
-    encoded = F.col("content_encoding").isin(*_ENCODED)
-    plain = known.where(~encoded).withColumn("body", F.substring("body", 1, max_body))
-    schema = known.schema
-    decoded = known.where(encoded).mapInArrow(_decoder(schema, "body", "content_encoding", max_body), schema)
-    return plain.unionByName(decoded)
+    if "content_encoding" in present and not keep_undecoded:
+        known = known.where(F.col("body").isNotNull())
+    if max_body is None:
+        return known
+    return known.withColumn("truncated", F.length("body") > max_body).withColumn("body", F.substring("body", 1, max_body))
 
 
 def latest_captures(captures: DataFrame, order: str) -> DataFrame:
-    """One capture per (method, url without fragment): the latest by ``order``.
+    """One capture per (method, url without fragment): the latest by ``order``, then ``capture_id``.
 
     The winners are found on keys alone; bodies move only in the final join.
     """
     from sievenet.functions.urls import without_fragment
 
     keyed = captures.withColumn("_key", without_fragment(F.col("url")))
-    winners = keyed.groupBy("method", "_key").agg(F.max(F.struct(order, "capture_id")).alias("_last"))
+    last = F.struct(F.col(order).alias("order"), F.col("capture_id").alias("id"))
+    winners = keyed.groupBy("method", "_key").agg(F.max(last).alias("_last"))
     return (
         keyed.join(winners, ["method", "_key"])
-        .where((F.col(order) == F.col(f"_last.{order}")) & (F.col("capture_id") == F.col("_last.capture_id")))
+        .where(last.eqNullSafe(F.col("_last")))
+        .dropDuplicates(["method", "_key"])
         .select(*captures.columns)
     )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sievenet.functions import urls
 from sievenet.functions.text import fields, trim_space
+from sievenet.session import new_dir
 from sievenet.sources.lines import read_lines
 
 # Headers a followed link takes over from its parent request.
@@ -20,7 +22,7 @@ def is_request_line(line: Column) -> Column:
 
 def canonical_header_name(name: Column) -> Column:
     """``user-agent`` to ``User-Agent``; names that are no tokens stay."""
-    words = F.transform(F.split(name, "-", -1), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 8192))))
+    words = F.transform(F.split(name, "-", -1), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2)))))
     return F.when(name.rlike("\\A[A-Za-z0-9!#$%&'*+\\-.^_`|~]+\\z"), F.array_join(words, "-")).otherwise(name)
 
 
@@ -135,7 +137,8 @@ def parse_requests(lines: DataFrame, *, strict: bool = True) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str | list[str], *, strict: bool = True) -> DataFrame:
-    return parse_requests(read_lines(spark, path), strict=strict)
+    """Requests of one or many files, in one order: by file name, then line."""
+    return in_one_order(parse_requests(read_lines(spark, path), strict=strict), ["source", "req_ord"])
 
 
 def url_requests(frame: DataFrame, url: str = "url", order: str = "req_ord") -> DataFrame:
@@ -152,12 +155,25 @@ def url_requests(frame: DataFrame, url: str = "url", order: str = "req_ord") ->
 
 
 def combine_requests(*sources: DataFrame) -> DataFrame:
-    """Union of request sources; earlier sources come first."""
+    """Union of request sources, numbered anew from 1: earlier sources come first, then files by name, then ``req_ord``."""
     combined = None
     for rank, frame in enumerate(sources):
-        shifted = frame.withColumn("req_ord", F.col("req_ord") + F.lit(rank << 40))
-        combined = shifted if combined is None else combined.unionByName(shifted)
-    return combined
+        ranked = frame.withColumn("_rank", F.lit(rank))
+        combined = ranked if combined is None else combined.unionByName(ranked)
+    return in_one_order(combined, ["_rank", "source", "req_ord"]).drop("_rank")
+
+
+def in_one_order(requests: DataFrame, order: list[str]) -> DataFrame:
+    """``req_ord`` from 1 without gaps or ties in this order: ranges are sorted apart and offset."""
+    spark = requests.sparkSession
+    path = new_dir(spark, "requests")
+    requests.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    stored = spark.read.schema(StructType([*requests.schema.fields, StructField("_part", IntegerType())])).parquet(path)
+    sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("_part", before.alias("_before")))  # one row per shuffle partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return stored.join(offsets, "_part").withColumn("req_ord", F.col("_before") + place).drop("_part", "_before")
 
 
 def canonical_headers(headers: Column) -> Column:

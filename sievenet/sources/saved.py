@@ -10,7 +10,6 @@ from sievenet.functions.urls import after
 from sievenet.sources.lines import read_lines
 
 INDEX = "index.txt"
-_MAX_LINE = 64 << 10
 
 
 def file_name(path: Column) -> Column:
@@ -25,7 +24,7 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     """Manifest rows of ``scan_dir, line_no, value`` lines.
 
     ``bad`` marks a row that makes its whole manifest unusable: not five
-    fields, a status that is no integer, or an over-long line.
+    fields, or a status that is no integer.
     """
     parts = F.col("_parts")
     return (
@@ -42,7 +41,6 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
             (
                 (F.size(parts) != 5)
                 | ~F.coalesce(F.get(parts, F.lit(1)), F.lit("")).rlike("\\A[+-]?[0-9]+\\z")
-                | (F.octet_length("value") >= _MAX_LINE)
             ).alias("bad"),
         )
     )

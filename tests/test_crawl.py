@@ -46,17 +46,55 @@ def test_large_waves_are_numbered_in_ranges(spark, monkeypatch):
 
 
 def test_large_sides_are_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(crawl_module, "fits_broadcast", lambda rows: False)
+    monkeypatch.setattr(crawl_module, "fits_broadcast", lambda measured: False)
     got = crawl(captures(spark), frontier(spark, HOST), discover=True)
     assert paths(got.queue) == EXPECTED
 
 
-def test_bucketed_edges(spark):
-    many = captures(spark).repartition(32, "url")
-    got = crawl(many, frontier(spark, HOST), discover=True)
+def test_bucketed_edges(spark, monkeypatch):
+    monkeypatch.setattr(crawl_module, "BUCKET_EDGES", 2)
+    got = crawl(captures(spark), frontier(spark, HOST), discover=True)
     assert paths(got.queue) == EXPECTED
 
 
+@pytest.mark.parametrize("cap", [None, 1, 7])
+def test_nothing_to_follow(spark, cap):
+    """A crawl that finds no link, or no capture at all, just ends."""
+    alone = captures(spark, [("https://a.test/", "text/html", "no links")])
+    for target, reached in (("https://a.test/*", 1), ("https://b.test/*", 0)):
+        got = crawl(alone, frontier(spark, target), max_crawl=cap)
+        assert (got.queue.count(), got.resources.count(), got.capped) == (1, reached, False)
+
+
+def test_cap_is_reported(spark):
+    assert [crawl(captures(spark), frontier(spark, HOST), discover=True, max_crawl=n).capped for n in (3, 7, 8, 9)] == [True, True, False, False]
+
+
+def test_latest_of_repeated_captures(spark):
+    pages = [("https://s.test/", "text/html", "old needle"), ("https://s.test/#x", "text/html", "new needle needle")]
+    run = scan_url(captures(spark, pages), "https://s.test/", assemble(custom=["[a-z]+ needle"]))
+    assert [r["matched_value"] for r in run.findings.collect()] == ["new needle"]
+
+
+def test_many_seeds_and_scopes_prune_pages(spark):
+    """Only pages in a scope, and seeds, have their links extracted, however many seeds there are."""
+    pages = [(f"https://h{i}.s.test/p{k}", "text/html", "<a href='/api'>x</a>") for i in range(50) for k in range(2)]
+    caps = captures(spark, pages)
+    one = frontier(spark, *(f"https://h{i}.s.test/p0" for i in range(40)), scope="https://h1.s.test/*")
+    kept = crawl_module._reachable_pages(caps, one, False)
+    assert kept.count() == 41
+    many = frontier(spark, *(f"*.h{i}.s.test/*" for i in range(3)), "h5.s.test/p1", "https://h6.s.test/*")
+    assert sorted(r["url"] for r in crawl_module._reachable_pages(caps, many, False).collect()) == ["https://h5.s.test/p1", "https://h6.s.test/p0", "https://h6.s.test/p1"]
+    wide = frontier(spark, "*.s.test/p1", "h7.s.test/p0")
+    assert crawl_module._reachable_pages(caps, wide, False).count() == 51
+
+
+def test_orders_may_be_any_bigint(spark):
+    rows = spark.createDataFrame([((1 << 63) - 1, "b.test"), (-(1 << 63), "a.test")], "req_ord bigint, url string")
+    got = crawl(captures(spark, [("https://a.test/", "text/html", "x")]), build_frontier(url_requests(rows)))
+    assert paths(got.queue) == ["https://a.test/", "http://a.test/", "https://b.test/", "http://b.test/"]
+
+
 def test_off_domain(spark):
     got = crawl(captures(spark), frontier(spark, HOST), discover=True, allow_off_domain=True)
     listed = paths(got.queue)
