@@ -82,25 +82,48 @@ class Signatures:
         return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def _summaries(docs: DataFrame, words: int, signatures: Signatures) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, its parity sketch and its signatures."""
+def _summaries(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles and two fingerprints of the set of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column("text"), FOLDED_WORDS):
-                sizes, one, two, sketches, all_signatures = [], [], [], [], []
+                sizes, one, two = [], [], []
                 for _, own in _sets(chunk, words):
                     sizes.append(len(own))
                     one.append(int(signed(np.sum(mix(own), dtype=U64).reshape(1))[0]))
                     two.append(int(signed(np.sum(mix(own ^ U64(0x5851F42D4C957F2D)), dtype=U64).reshape(1))[0]))
-                    sketches.append(_parities(own))
-                    all_signatures.append(signed(signatures.of(own)))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in all_signatures])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_signatures)))
                 ids = batch.column("doc_id").slice(chunk.first, len(sizes))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), lists], names=["doc_id", "n_shingles", "f1", "f2", "sketch", "signatures"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "n_shingles", "f1", "f2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch array<bigint>, signatures array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint")
+
+
+def _signatures(docs: DataFrame, words: int, signatures: Signatures) -> DataFrame:
+    """doc_id and signatures of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column("text"), FOLDED_WORDS):
+                every = [signed(signatures.of(own)) for _, own in _sets(chunk, words)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in every])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(every)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, len(every)), lists], names=["doc_id", "signatures"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, signatures array<bigint>")
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, size and parity sketch of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column("text"), FOLDED_WORDS):
+                sets = [own for _, own in _sets(chunk, words)]
+                columns = [batch.column("doc_id").slice(chunk.first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array([_parities(x) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sketch array<bigint>")
 
 
 def _levels(size: int, t: Fraction) -> range:
@@ -173,16 +196,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
     """
     signatures = Signatures(numerator, denominator)
     t = signatures.t
-    rows = saved(_summaries(docs, words, signatures), "sets")
+    rows = saved(_summaries(docs, words), "sets")
     key = ["f1", "f2", "n_shingles"]
     classes = saved(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     copies = saved(rows.join(classes.where("copies > 1"), key).where("doc_id != rep").select("doc_id"), "copies")
-    of_reps = sized_join(rows.where("n_shingles > 0 and doc_id is not null"), copies, "doc_id", "left_anti", 32)
-    spread = of_reps.select("doc_id", F.explode("signatures").alias("s"))
+    texts = docs.where("doc_id is not null")
+    only_reps = lambda frame: sized_join(frame, copies, "doc_id", "left_anti", 32)
+    spread = only_reps(_signatures(texts, words, signatures)).select("doc_id", F.explode("signatures").alias("s"))
     shared = spread.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
     postings = saved(spread.join(shared, "s"), "postings")
-    known = saved(postings.select("doc_id").distinct().join(of_reps.select("doc_id", F.col("n_shingles").alias("n"), "sketch"), "doc_id"), "known")
-    texts = docs.where("doc_id is not null")
+    paired = saved(postings.select("doc_id").distinct(), "paired")
+    known = saved(sized_join(_sketches(texts, words), paired, "doc_id", "left_semi", 32), "known")
 
     tried: DataFrame | None = None
     links: DataFrame | None = None

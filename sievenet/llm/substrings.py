@@ -26,6 +26,16 @@ RUN = 32  # windows of a block at most; longer runs are cut, windows never
 SHARD = 4096  # blocks that share an anchor and are matched in one automaton; more are compared window by window
 
 NEVER = np.iinfo(np.int64).max
+BYTES = 6  # of a word's hash in a block: blocks are compared only where their anchors' 64 bits agree
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def _unpacked(words: bytes) -> np.ndarray:
+    own = np.frombuffer(words, np.uint8).reshape(-1, BYTES)
+    return np.concatenate([own, np.zeros((len(own), 8 - BYTES), np.uint8)], 1).view(U64).ravel()
 
 
 class SuffixAutomaton:
@@ -207,7 +217,7 @@ def _shared_blocks(rows: DataFrame, window: int, with_words: bool) -> DataFrame:
                 keys.append(anchors[starts])
                 hashes.append(_block_hashes(own, starts, lengths, window))
                 if with_words:
-                    words += [own[s : s + n + window - 1].tobytes() for s, n in zip(starts, lengths, strict=True)]
+                    words += [_packed(own[s : s + n + window - 1]) for s, n in zip(starts, lengths, strict=True)]
             flat = lambda x: pa.array(signed(np.concatenate(x)) if x else np.zeros(0, np.int64))
             columns = [pa.array(ids, pa.int64()), flat(keys), flat(hashes)] + ([pa.array(words, pa.binary())] if with_words else [])
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "anchor", "block", "words"][: len(columns)])
@@ -225,7 +235,7 @@ def _matched(blocks: DataFrame, window: int) -> DataFrame:
 
         names, lows = [], []
         for _, group in itertools.groupby(rows(), key=lambda r: r[0]):
-            shard = [(block, np.frombuffer(words, np.int64).tolist(), low) for _, block, words, low in group]
+            shard = [(block, _unpacked(words).tolist(), low) for _, block, words, low in group]
             if len(shard) == 1:  # one passage: all its windows have its label
                 found = [[shard[0][2]] * (len(shard[0][1]) - window + 1)]
             else:
@@ -251,7 +261,7 @@ def _by_window(blocks: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             names, at, hashes, lows = [], [], [], []
             for block, words, low in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "low")), strict=True):
-                own = np.frombuffer(words, U64)
+                own = _unpacked(words)
                 n = len(own) - window + 1
                 names += [block] * n
                 at += range(n)
@@ -283,7 +293,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     lists = _anchor_lists(named, window).join(F.broadcast(copies) if small_enough(copies, 64) else copies, ["doc_id", "mark"], "left_anti")
     spread = lists.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = spread.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
     marked = saved(spread.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "marked")
     candidates = named.join(marked, "doc_id")
 
