@@ -111,6 +111,16 @@ for _key, _dedup in (("scan_dedup", True), ("scan_nodedup", False)):
         )
     )
 
+_LOOPS = assemble(custom=["(?:[a-z]|-)+ing", "(?:the|an|in)+s", "(?:[a-z]+, ?)+"])
+check(
+    "scan_long_lines",
+    f"WITH {t.DOCUMENTS_SQL}, whole AS (SELECT capture_id, replace(body, chr(10), ' ') AS text FROM docs) " + matches_sql(_LOOPS, source="whole", columns="capture_id, pattern, matched_value"),
+)(
+    lambda spark, sf: scan(
+        t.documents(spark, sf).withColumn("body", F.expr("CAST(replace(CAST(body AS STRING), chr(10), ' ') AS BINARY)")), _LOOPS, fields=["pattern", "matched_value"], keep=[ID]
+    )
+)
+
 # Byte windows are cut on the hex form; broken characters at a cut are counted.
 _CONTEXT_PATTERNS = assemble(custom=["[Tt]h[a-z]+", "é[a-zé]+"])
 _CONTEXT_SQL = (
@@ -226,15 +236,36 @@ check(
     .join(_paths(spark, sf).withColumnRenamed("page_id", ID), ID)
     .select(F.col(ID).alias("page_id"), T.resource_kind(F.col("content_type"), F.col("path")).alias("resource_kind"))
 )
+
+
+def _packed(spark, sf):
+    """Pages as they are served: a third gzip, a third deflate, packed by Spark's workers."""
+    import pandas as pd
+
+    kinds_of = {"bodies": pd.Series, "ids": pd.Series, "return": pd.Series}
+
+    def pack(bodies, ids):
+        import gzip
+        import zlib
+
+        import pandas as pd
+
+        return pd.Series([(bytes, gzip.compress, zlib.compress)[i % 3](b) for b, i in zip(bodies, ids)])
+
+    pack.__annotations__ = kinds_of
+    kinds = F.element_at(F.array(F.lit(" Identity "), F.lit("GZIP"), F.lit(" deflate")), (F.col(ID) % 3 + 1).cast("int"))
+    return t.pages(spark, sf).withColumns({"content_encoding": kinds, "body": F.pandas_udf(pack, "binary")("body", ID)})
+
+
 check(
     "capture_normalize",
     f"""WITH {t.pages_sql()} SELECT capture_id, 'GET' AS method, url, final_url, status, trim(split_part(content_type, ';', 1)) AS content_type,
-  CAST(least(strlen(body), 3000) AS INT) AS bytes FROM site""",
-)(
-    lambda spark, sf: normalize_captures(t.pages(spark, sf).withColumn("content_encoding", F.lit(" Identity ")), max_body=3000).select(
-        ID, "method", "url", "final_url", "status", "content_type", F.octet_length("body").alias("bytes")
-    )
-)
+  CAST(strlen(body) AS INT) AS bytes, md5(body) AS body FROM site""",
+)(lambda spark, sf: normalize_captures(_packed(spark, sf)).select(ID, "method", "url", "final_url", "status", "content_type", F.octet_length("body").alias("bytes"), F.md5("body").alias("body")))
+check(
+    "capture_truncated",
+    f"WITH {t.pages_sql()} SELECT capture_id, strlen(body) > 3000 AS truncated, CAST(least(strlen(body), 3000) AS INT) AS bytes FROM site",
+)(lambda spark, sf: normalize_captures(_packed(spark, sf), max_body=3000).select(ID, "truncated", F.octet_length("body").alias("bytes")))
 
 # -- sinks -------------------------------------------------------------------
 
@@ -305,12 +336,20 @@ check(
         _saved(spark, sf), packaged_patterns(), fields=["pattern_name", "matched_value", "resource_url", "line", "discovered_from"], keep=["scan_dir"]
     )
 )
+
+def _saved_below(spark, sf):
+    """Page bodies written as files below a root, some hosts with a manifest, and read back as saved scans."""
+    root = new_dir(spark, "history")
+    rows = t.read(spark, sf, "pages").select("page_id", F.expr(_HOST).alias("host"), F.expr("concat(replace(html, chr(10), ' '), ' ', url)").alias("value"))
+    rows.withColumns({"dir": F.expr("concat(host, '__', page_id)")}).select("dir", "value").write.partitionBy("dir").text(root)
+    found = read_saved_scans(spark, root, discover=True)
+    return found.where("scan_dir <> ''").select(F.expr("substring_index(scan_dir, '=', -1)").alias("scan"), "status", "content_type", F.md5("body").alias("body"))
+
+
 check(
     "history_files",
-    "SELECT concat('file://', t, '.parquet') AS final_url, 200 AS status, 'application/octet-stream' AS content_type FROM (VALUES "
-    + ", ".join(f"('{n}')" for n in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
-    + ") AS v(t)",
-)(lambda spark, sf: read_saved_scans(spark, sf).select("final_url", "status", "content_type"))
+    f"SELECT concat({_HOST}, '__', page_id) AS scan, 200 AS status, 'text/plain' AS content_type, md5(concat(replace(html, chr(10), ' '), ' ', url, chr(10))) AS body FROM pages",
+)(_saved_below)
 check(
     "history_multi",
     f"""WITH p AS (SELECT concat({_HOST}, '/', CASE WHEN page_id % 3 = 0 THEN 'index.txt' ELSE concat(page_id % 4, '/', CASE WHEN page_id % 5 = 0 THEN 'index.txt' ELSE 'a.html' END) END) AS path FROM pages)

@@ -141,11 +141,13 @@ def pages_sql(body: str = "html", name: str = "site") -> str:
   CAST(200 + page_id % 5 AS INT) AS status, {SQL_TYPE} AS content_type, {body} AS body FROM pages)"""
 
 
+# A URL without its fragment answers with its latest capture.
 LINKED_SQL = """linked AS (
-  SELECT p.page_id, p.url, p.html, a.url AS first_url, b.url AS second_url
-  FROM pages p CROSS JOIN (SELECT count(*) AS n FROM pages) t
-  JOIN pages a ON a.page_id = (2 * p.page_id + 1) % t.n
-  JOIN pages b ON b.page_id = (2 * p.page_id + 2) % t.n)"""
+  SELECT p.page_id, p.url, q.html, a.url AS first_url, b.url AS second_url
+  FROM (SELECT *, max(page_id) OVER (PARTITION BY split_part(url, '#', 1)) AS latest FROM pages) p
+  JOIN pages q ON q.page_id = p.latest CROSS JOIN (SELECT count(*) AS n FROM pages) t
+  JOIN pages a ON a.page_id = (2 * q.page_id + 1) % t.n
+  JOIN pages b ON b.page_id = (2 * q.page_id + 2) % t.n)"""
 
 
 def lines_sql(source: str, name: str = "lines") -> str:

@@ -383,6 +383,30 @@ def _offdomain(spark, sf):
     return found.queue.select("url", "depth")
 
 
+# One seed, links by page number: waves go on until no page is new.
+
+
+def _steps(spark, sf):
+    """Pages of one host that link to pages 2n + 1 and 2n + 2: a tree whose queue order is its numbering."""
+    pages = t.read(spark, sf, "pages").select("page_id")
+    at = lambda n: F.concat(F.lit("https://tree.example.org/p/"), n.cast("string"))
+    link = lambda n: F.concat(F.lit('<a href="'), at(n), F.lit('">n</a>'))
+    n = F.col("page_id")
+    return pages.select(n.alias(ID), F.lit("GET").alias("method"), at(n).alias("url"), at(n).alias("final_url"), at(n).alias("target_url"), F.lit("").alias("parent_url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.concat(link(2 * n + 1), link(2 * n + 2), link(F.floor(n / 2))).cast("binary").alias("body"))
+
+
+def _tree(spark, sf, cap):
+    captures = _steps(spark, sf)
+    seed = spark.range(1).select(F.lit(1).alias("req_ord"), F.lit("https://tree.example.org/p/0").alias("url"))
+    return crawl(captures, build_frontier(url_requests(seed), "https://tree.example.org/*"), max_crawl=cap(captures) if cap else None).queue.select("url", "queue_ord", "depth", "discovered_from")
+
+
+_TREE_SQL = """WITH n AS (SELECT max(page_id) AS last FROM pages), q AS (SELECT unnest(generate_series(0, 2 * last + 2)) AS i FROM n)
+  SELECT concat('https://tree.example.org/p/', i) AS url, CAST(i + 1 AS BIGINT) AS queue_ord, CAST(floor(log2(i + 1)) AS INT) AS depth,
+    CASE WHEN i = 0 THEN '' ELSE concat('https://tree.example.org/p/', (i - 1) // 2) END AS discovered_from FROM q"""
+check("crawl_waves", _TREE_SQL)(lambda spark, sf: _tree(spark, sf, None))
+check("crawl_waves_cap", _TREE_SQL + " WHERE i < (SELECT last // 2 FROM n)")(lambda spark, sf: _tree(spark, sf, lambda captures: captures.agg(F.max(ID)).first()[0] // 2))
+
 _ASKED = "CASE CAST(page_id % 4 AS INT) WHEN 0 THEN concat(split_part(url, '#', 1), '#part') WHEN 1 THEN replace(url, 'example', 'nowhere') ELSE url END"
 
 
@@ -396,7 +420,8 @@ _ASKED_SQL = f"asked AS (SELECT page_id, {_ASKED} AS url FROM pages), firsts AS
 check(
     "crawl_fetch",
     f"""WITH {_ASKED_SQL}, {t.pages_sql()} SELECT a.url, a.url AS final_url, s.status, md5(s.body) AS body, 'example.com' AS target_url
-  FROM firsts a JOIN site s ON split_part(s.url, '#', 1) = split_part(a.url, '#', 1)""",
+  FROM firsts a JOIN (SELECT * FROM site QUALIFY row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY capture_id DESC) = 1) s
+    ON split_part(s.url, '#', 1) = split_part(a.url, '#', 1)""",
 )(lambda spark, sf: _asked(spark, sf).resources.select("url", "final_url", "status", F.md5("body").alias("body"), "target_url"))
 check(
     "crawl_missing",

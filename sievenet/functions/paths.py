@@ -44,6 +44,7 @@ def clean_parts(path: Column) -> Column:
 
 def default_extension(content_type: Column) -> Column:
     lowered = F.lower(content_type)
+    # Extensions by words of the content type.
     by_type = (
         (".html", "html"),
         (".js", "javascript|ecmascript"),

@@ -47,6 +47,7 @@ def first_case(cases, default: str) -> Column:
 def content_type_from_path(path: Column) -> Column:
     """Content type a saved file is given when no manifest states one."""
     ext = extension(path)
+    # Content types by extension.
     by_type = {
         "text/html": (".html", ".htm", ".php", "."),
         "application/javascript": (".js", ".mjs"),
@@ -61,6 +62,7 @@ def content_type_from_path(path: Column) -> Column:
 def resource_kind(content_type: Column, final_url: Column) -> Column:
     """Kind from the content type, else from the extension of the whole URL."""
     lowered, ext = F.lower(content_type), extension(final_url)
+    # Kinds by words of the content type, then by extension.
     by_content = (
         ("html", ("html",)),
         ("js", ("javascript", "ecmascript")),

@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievenet.functions import urls
 from sievenet.operators.links import with_resolved_links
 from sievenet.operators.scope import admits, discovery_is_on, literal_scope, scope_matches
-from sievenet.session import fits_broadcast, new_dir
+from sievenet.session import Size, fits_broadcast, new_dir, write_counted
 from sievenet.sources.captures import latest_captures
 from sievenet.sources.requests import inherited_headers
 
@@ -45,21 +45,6 @@ class Crawl(NamedTuple):
     """Folder of the crawl's stored tables; delete it when the frames are no longer used."""
 
 
-class Size(NamedTuple):
-    rows: int
-    bytes: int
-    """Of the rows as text, an upper guess of what a broadcast moves."""
-
-
-def write_counted(rows: DataFrame, path: str) -> tuple[DataFrame, Size]:
-    """Store rows; the stored table and its size, measured while writing."""
-    written = Observation()
-    width = F.octet_length(F.to_json(F.struct(*rows.columns))) if rows.columns else F.lit(0)
-    rows.observe(written, F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).write.parquet(path)
-    found = written.get
-    return rows.sparkSession.read.schema(rows.schema).parquet(path), Size(found["n"], found["bytes"] or 0)
-
-
 def number_rows(rows: DataFrame, order: Sequence[str], start: int, limit: int, name: str = "queue_ord") -> DataFrame:
     """Dense numbers ``start+1 ...`` by ``order`` for the first ``limit`` rows.
 

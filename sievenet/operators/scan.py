@@ -25,9 +25,9 @@ def parse_fields(raw: str) -> list[str]:
 def check_fields(names: Sequence[str]) -> list[str]:
     for name in names:
         if name not in FINDING_FIELDS:
-            raise ValueError(f"unsupported format field {name!r}")
+            raise ValueError(f"findings have no field {name!r}; fields are {', '.join(FINDING_FIELDS)}")
     if not names:
-        raise ValueError("format must contain at least one field")
+        raise ValueError("name one field of the findings at least")
     return list(names)
 
 
@@ -91,7 +91,7 @@ def scan(
     capture columns, or ``pattern_ord`` / ``match_ord`` for a stable order.
     """
     if not patterns:
-        raise ValueError("no pattern provided")
+        raise ValueError("a scan needs a pattern")
     fields = check_fields(fields)
     numbered = list(enumerate(patterns))
     if dedup:

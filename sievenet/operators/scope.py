@@ -77,10 +77,10 @@ def parse_targets(raws: Column) -> Column:
             F.concat(F.when(F.contains(host, F.lit(":")), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host), F.lit(":"), s["port"]),
         ).otherwise(host)
         error = (
-            F.when(s["raw"] == "", "empty target")
-            .when(s["rest"] == "", "missing target body")
-            .when(s["host"] == "", "target is missing host")
-            .when(F.array_contains(s["labels"], ""), "target has invalid host")
+            F.when(s["raw"] == "", "no target was given")
+            .when(s["rest"] == "", "nothing follows the scheme")
+            .when(s["host"] == "", "no host before the path")
+            .when(F.array_contains(s["labels"], ""), "a label of the host is empty")
         )
         return F.struct(
             s["raw"].alias("raw"),

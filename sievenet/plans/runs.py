@@ -34,7 +34,7 @@ def scan_requests(
 ) -> Run:
     """Crawl the captures from a request table and scan what is reached."""
     if not patterns:
-        raise ValueError("no pattern provided")
+        raise ValueError("a run needs a pattern")
     reached = crawl(captures, build_frontier(dedup_requests(requests), scope), **crawl_options)
     return Run(scan(reached.resources, patterns, dedup=dedup, fields=fields, keep=keep), reached)
 

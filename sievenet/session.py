@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Capture bodies reach 8 MiB, so batches handed to Python are kept short and
 # input splits are left at Spark's 128 MB.
@@ -43,6 +45,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+class Size(NamedTuple):
+    rows: int
+    bytes: int
+    """Of the rows as text, an upper guess of what a broadcast moves."""
+
+
+def write_counted(rows: DataFrame, path: str) -> tuple[DataFrame, Size]:
+    """Store rows; the stored table and its size, measured while writing."""
+    written = Observation()
+    width = F.octet_length(F.to_json(F.struct(*rows.columns))) if rows.columns else F.lit(0)
+    rows.observe(written, F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).write.parquet(path)
+    found = written.get
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), Size(found["n"], found["bytes"] or 0)
+
+
 def fits_broadcast(measured: int) -> bool:
     """Size check, in measured bytes, made before every broadcast hint; larger sides join by shuffle."""
     return measured <= BROADCAST_BYTES

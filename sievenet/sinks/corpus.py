@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievenet.functions.paths import with_relative_path
-from sievenet.operators.crawl import write_counted
 from sievenet.operators.scope import scope_of, where_in_scope
-from sievenet.session import fits_broadcast, new_dir
+from sievenet.session import fits_broadcast, new_dir, write_counted
 
 SAVE_MODES = ("scope", "full")
 
@@ -24,7 +23,7 @@ def parse_save_dir(raw: str) -> tuple[str, str]:
     else:
         mode, folder = "scope", raw
     if not folder:
-        raise ValueError("save-dir must include a folder path")
+        raise ValueError(f"{raw!r} names no folder to save in")
     return mode, folder
 
 

@@ -56,7 +56,7 @@ def _writer_input(findings: DataFrame, kind: str) -> tuple[DataFrame, str, dict[
         return findings.select(*_strings(findings)), "csv", CSV_OPTIONS
     if kind == "parquet":
         return findings, "parquet", {}
-    raise ValueError(f"unsupported output type {kind!r}")
+    raise ValueError(f"findings can't be written as {kind!r}")
 
 
 def write_findings(findings: DataFrame, path: str, kind: str | None = None, mode: str = "errorifexists") -> None:

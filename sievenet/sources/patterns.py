@@ -95,7 +95,7 @@ def assemble(
     listed = [*builtins, *(Pattern("custom", regex) for regex in regexes)]
     unique = list({(p.regex, p.name, p.source): p for p in reversed(listed)}.values())[::-1]
     if not unique:
-        raise ValueError("no pattern provided")
+        raise ValueError("neither packaged nor custom patterns were chosen")
     return unique
 
 

@@ -127,7 +127,7 @@ def parse_requests(lines: DataFrame, *, strict: bool = True) -> DataFrame:
                 F.col("_blank") > 0,
                 F.array_join(F.slice("_lines", (F.col("_blank") + 1).cast("int"), F.size("_lines")), "\n"),
             ).cast("binary").alias("body"),
-            F.when(F.col("url").isNull(), F.lit("raw request is missing Host header")).alias("error"),
+            F.when(F.col("url").isNull(), F.lit("a request without a Host header has no URL")).alias("error"),
         )
     )
     if strict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievenet.functions.text import content_type_from_path, trim_space
 from sievenet.functions.urls import after
+from sievenet.session import fits_broadcast, new_dir, write_counted
 from sievenet.sources.lines import read_lines
 
 INDEX = "index.txt"
@@ -46,40 +47,37 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     )
 
 
-def resolve_saved_scans(files: DataFrame, manifest_lines: DataFrame) -> DataFrame:
-    """Captures of saved scans.
+def resolve_paths(names: DataFrame, manifest_lines: DataFrame) -> DataFrame:
+    """What a saved scan's captures are, decided on paths alone.
 
-    ``files`` holds ``scan_dir, relative_path, body`` for every file of every
-    scan, ``manifest_lines`` the numbered lines of their manifests.  A scan
-    whose manifest is missing, malformed or lists an absent file is read file
-    by file instead.  That verdict is reached on paths alone; bodies take part
-    only in the last join, where the manifest is the small side.
+    ``names`` holds ``scan_dir, relative_path`` and further columns for every file
+    of every scan, ``manifest_lines`` the numbered lines of their manifests.  A
+    scan whose manifest is missing, malformed or lists an absent file is taken
+    file by file instead.
     """
     rows = parse_manifest(manifest_lines)
-    names = files.select("scan_dir", "relative_path")
-    present = names.withColumn("_there", F.lit(True)).dropDuplicates()
-    checked = rows.join(present, ["scan_dir", "relative_path"], "left")
+    keys = ["scan_dir", "relative_path"]
+    checked = rows.join(names.select(*keys).withColumn("_there", F.lit(True)).dropDuplicates(), keys, "left")
     broken = checked.where(F.col("bad") | F.col("_there").isNull()).select("scan_dir").distinct()
-    indexed = names.where(F.col("relative_path") == INDEX).select("scan_dir").distinct()
-    usable = indexed.join(broken, "scan_dir", "left_anti")
-
-    listed = rows.join(broken, "scan_dir", "left_anti").join(
-        files.select("scan_dir", "relative_path", "body"), ["scan_dir", "relative_path"]
-    )
+    usable = names.where(F.col("relative_path") == INDEX).select("scan_dir").distinct().join(broken, "scan_dir", "left_anti")
+    listed = rows.join(broken, "scan_dir", "left_anti").join(names, keys)
     loose = (
-        files.join(usable, "scan_dir", "left_anti")
+        names.join(usable, "scan_dir", "left_anti")
         .where(file_name(F.col("relative_path")) != INDEX)
-        .select(
-            "scan_dir",
-            F.lit(None).cast("bigint").alias("queue_ord"),
-            F.concat(F.lit("file://"), F.col("relative_path")).alias("url"),
-            F.lit(200).alias("status"),
-            content_type_from_path(F.col("relative_path")).alias("content_type"),
-            "body",
+        .withColumns(
+            {
+                "queue_ord": F.lit(None).cast("bigint"),
+                "url": F.concat(F.lit("file://"), F.col("relative_path")),
+                "status": F.lit(200),
+                "content_type": content_type_from_path(F.col("relative_path")),
+            }
         )
     )
-    both = listed.select("scan_dir", "queue_ord", "url", "status", "content_type", "body").unionByName(loose)
-    return both.select(
+    return listed.select(*loose.columns).unionByName(loose)
+
+
+def _captures(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "scan_dir",
         "queue_ord",
         F.lit("GET").alias("method"),
@@ -93,6 +91,18 @@ def resolve_saved_scans(files: DataFrame, manifest_lines: DataFrame) -> DataFram
     )
 
 
+def resolve_saved_scans(files: DataFrame, manifest_lines: DataFrame) -> DataFrame:
+    """Captures of saved scans given as a table of files (``scan_dir, relative_path, body``).
+
+    The verdict is reached on paths and stored; bodies take part in one join.
+    """
+    keys = ["scan_dir", "relative_path"]
+    spark = files.sparkSession
+    chosen, size = write_counted(resolve_paths(files.select(*keys), manifest_lines), new_dir(spark, "saved-paths"))
+    side = F.broadcast(chosen) if fits_broadcast(size.bytes) else chosen
+    return _captures(files.select(*keys, "body").join(side, keys))
+
+
 def find_scan_dirs(paths: DataFrame) -> DataFrame:
     """Scan folders (``scan_dir``) under a root, from relative file ``path`` s.
 
@@ -131,27 +141,23 @@ def _members(files: DataFrame, dirs: DataFrame) -> DataFrame:
 def read_saved_scans(spark: SparkSession, root: str, *, discover: bool = False) -> DataFrame:
     """Captures of the scan saved in ``root``, or of all scans below it.
 
-    Bodies are read where they lie (``binaryFile``); the listing that decides
-    which folders are scans never opens them.
+    Which file is what capture of which scan is decided on a stored listing of
+    paths.  Bodies are then read where they lie (``binaryFile``) and meet that
+    table once, by path, however many scans share a file.
     """
     base = root.split("://")[-1] if root.startswith("file:") else root
     base = base.removeprefix("file:").rstrip("/") + "/"
-    at = F.instr("_path", base)
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(F.col("path").alias("_path"), F.col("content").alias("body"))
-    )
-    files = listing.select(F.substr("_path", at + F.lit(len(base))).alias("path"), "body")
-    if files.select("path").isEmpty():
-        raise ValueError(f"no saved history found under {root}")
-    if discover:
-        dirs = find_scan_dirs(files.select("path"))
-    else:
-        dirs = spark.range(1).select(F.lit("").alias("scan_dir"))
-    members = _members(files, dirs)
-    if files.where(file_name(F.col("path")) == INDEX).select("path").isEmpty():
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    at = F.instr("path", base)
+    listing = files.select(F.substr("path", at + F.lit(len(base))).alias("path"), F.col("path").alias("file"))
+    listing, size = write_counted(listing, new_dir(spark, "listing"))
+    if not size.rows:
+        raise ValueError(f"{root} holds no file of a saved scan")
+    paths = listing.select("path")
+    dirs = find_scan_dirs(paths) if discover else spark.range(1).select(F.lit("").alias("scan_dir"))
+    dirs, _ = write_counted(dirs, new_dir(spark, "scan-dirs"))
+    members = _members(listing, dirs)
+    if paths.where(file_name(F.col("path")) == INDEX).isEmpty():
         lines = spark.createDataFrame([], "path string, line_no bigint, value string")
     else:
         lines = read_lines(spark, root, recursiveFileLookup=True, pathGlobFilter=INDEX)
@@ -159,4 +165,6 @@ def read_saved_scans(spark: SparkSession, root: str, *, discover: bool = False)
             F.substr("file", F.instr("file", base) + F.lit(len(base))).alias("path"), "line_no", "value"
         )
     lines = lines.select(folder_of(F.col("path")).alias("scan_dir"), "line_no", "value").join(dirs, "scan_dir")
-    return resolve_saved_scans(members, lines)
+    chosen, size = write_counted(resolve_paths(members.select("scan_dir", "relative_path", "file"), lines), new_dir(spark, "saved-paths"))
+    side = F.broadcast(chosen) if fits_broadcast(size.bytes) else chosen
+    return _captures(files.select(F.col("path").alias("file"), F.col("content").alias("body")).join(side, "file"))

@@ -17,7 +17,7 @@ def paths(queue):
     return [r["url"].removeprefix(HOST) for r in queue.orderBy("queue_ord").collect()]
 
 
-EXPECTED = ["/", "/assets/app.js", "/assets/deep.js", "/data/spec.json", "/api/users", "/assets/app.js.map", "/data/more.json", "/graphql"]
+EXPECTED = ["/", "/js/beds.js", "/js/seeds.js", "/plots/layout.json", "/api/beds", "/js/beds.js.map", "/plots/stock.json", "/graphql"]
 
 
 def test_queue_order_and_lineage(spark):
@@ -25,11 +25,11 @@ def test_queue_order_and_lineage(spark):
     assert paths(got.queue) == EXPECTED
     rows = {r["url"].removeprefix(HOST): r for r in got.queue.collect()}
     assert rows["/"]["discovered_from"] == ""
-    assert rows["/api/users"]["discovered_from"] == HOST + "/assets/app.js"
-    assert rows["/graphql"]["discovered_from"] == HOST + "/assets/deep.js"
+    assert rows["/api/beds"]["discovered_from"] == HOST + "/js/beds.js"
+    assert rows["/graphql"]["discovered_from"] == HOST + "/js/seeds.js"
     assert {r["target_url"] for r in rows.values()} == {HOST}
     assert sorted(r["queue_ord"] for r in rows.values()) == list(range(1, 9))
-    assert sorted(paths(got.unreachable)) == ["/api/users", "/graphql"]
+    assert sorted(paths(got.unreachable)) == ["/api/beds", "/graphql"]
     assert got.resources.count() == 6
 
 
@@ -98,29 +98,29 @@ def test_orders_may_be_any_bigint(spark):
 def test_off_domain(spark):
     got = crawl(captures(spark), frontier(spark, HOST), discover=True, allow_off_domain=True)
     listed = paths(got.queue)
-    assert listed[:5] == ["/", "/assets/app.js", "/assets/deep.js", OTHER + "/offdomain.js", "/data/spec.json"]
-    assert {OTHER + "/external-api", "http://localhost:65530/api"} <= set(paths(got.unreachable))
+    assert listed[:5] == ["/", "/js/beds.js", "/js/seeds.js", OTHER + "/helper.js", "/plots/layout.json"]
+    assert {OTHER + "/remote-api", "http://unreachable.test:9/api"} <= set(paths(got.unreachable))
 
 
 def test_discovery_needs_flag_or_wildcard(spark):
     pages = [
-        ("https://s.test/foo/", "text/html", '<a href="/foo/api-child">x</a>'),
-        ("https://s.test/foo/api-child", "text/html", "needle"),
-        ("https://s.test/foo/pic.png", "image/png", "needle"),
+        ("https://s.test/shop/", "text/html", '<a href="/shop/api-item">x</a>'),
+        ("https://s.test/shop/api-item", "text/html", "needle"),
+        ("https://s.test/shop/logo.png", "image/png", "needle"),
     ]
     caps = captures(spark, pages)
-    assert crawl(caps, frontier(spark, "https://s.test/foo/")).queue.count() == 1
-    assert paths(crawl(caps, frontier(spark, "https://s.test/foo/*")).queue) == ["https://s.test/foo/", "https://s.test/foo/api-child"]
+    assert crawl(caps, frontier(spark, "https://s.test/shop/")).queue.count() == 1
+    assert paths(crawl(caps, frontier(spark, "https://s.test/shop/*")).queue) == ["https://s.test/shop/", "https://s.test/shop/api-item"]
 
 
 def test_wildcard_follows_what_a_literal_scope_ignores(spark):
     pages = [
-        ("https://s.test/foo/", "text/html", '<a href="assets/harga.php"></a><a href="/foo/pic.png"></a><script src="app.js"></script>'),
-        ("https://s.test/foo/assets/harga.php", "text/html", "needle"),
+        ("https://s.test/shop/", "text/html", '<a href="pages/offer.php"></a><a href="/shop/logo.png"></a><script src="menu.js"></script>'),
+        ("https://s.test/shop/pages/offer.php", "text/html", "needle"),
     ]
-    run = scan_url(captures(spark, pages), "https://s.test/foo/*", assemble(custom=["needle"]), out_scope=["images"])
-    assert [r["resource_url"] for r in run.findings.collect()] == ["https://s.test/foo/assets/harga.php"]
-    assert paths(run.crawl.queue) == ["https://s.test/foo/", "https://s.test/foo/app.js", "https://s.test/foo/assets/harga.php"]
+    run = scan_url(captures(spark, pages), "https://s.test/shop/*", assemble(custom=["needle"]), out_scope=["images"])
+    assert [r["resource_url"] for r in run.findings.collect()] == ["https://s.test/shop/pages/offer.php"]
+    assert paths(run.crawl.queue) == ["https://s.test/shop/", "https://s.test/shop/menu.js", "https://s.test/shop/pages/offer.php"]
 
 
 def test_missing_https_seed(spark):
@@ -134,14 +134,14 @@ def test_missing_https_seed(spark):
 
 
 def test_scope_over_requests_and_inherited_headers(spark):
-    pages = [("http://127.0.0.1:9/home", "text/html", '<a href="/child-api"></a>'), ("http://127.0.0.1:9/child-api", "text/html", "needle")]
+    pages = [("http://box.test:9/begin", "text/html", '<a href="/next-api"></a>'), ("http://box.test:9/next-api", "text/html", "needle")]
     rows = spark.createDataFrame(
-        [(1, "GET", "http://127.0.0.1:9/home", {"Cookie": ["a", "b"], "User-Agent": ["UA"], "X": ["1"]})],
+        [(1, "GET", "http://box.test:9/begin", {"Cookie": ["a", "b"], "User-Agent": ["UA"], "X": ["1"]})],
         "req_ord bigint, method string, url string, headers map<string,array<string>>",
     ).withColumn("body", F.lit(None).cast("binary"))
-    run = scan_requests(captures(spark, pages), rows, assemble(custom=["needle"]), scope="127.0.0.1:9", discover=True)
+    run = scan_requests(captures(spark, pages), rows, assemble(custom=["needle"]), scope="box.test:9", discover=True)
     queue = run.crawl.queue.orderBy("queue_ord").collect()
-    assert [r["url"] for r in queue] == ["http://127.0.0.1:9/home", "http://127.0.0.1:9/child-api"]
+    assert [r["url"] for r in queue] == ["http://box.test:9/begin", "http://box.test:9/next-api"]
     assert queue[1]["headers"] == {"Cookie": ["a"], "User-Agent": ["UA"]}
     assert run.findings.count() == 1
     kept = spark.createDataFrame([({"Accept": [""]},)], "h map<string,array<string>>").select(inherited_headers(F.col("h")))
@@ -151,7 +151,7 @@ def test_scope_over_requests_and_inherited_headers(spark):
 def test_duplicate_seeds_count_towards_the_cap(spark):
     seeds = frontier(spark, HOST + "/", HOST + "/", scope=HOST)
     got = crawl(captures(spark), seeds, discover=True, max_crawl=3)
-    assert paths(got.queue) == ["/", "/", "/assets/app.js"]
+    assert paths(got.queue) == ["/", "/", "/js/beds.js"]
     assert got.resources.count() == 2
 
 
@@ -165,7 +165,7 @@ def test_fragments_are_kept_but_not_fetched(spark):
 def test_findings_carry_lineage(spark):
     got = crawl(captures(spark), frontier(spark, HOST), discover=True)
     fields = ["matched_value", "target_url", "resource_url", "discovered_from", "status", "content_type", "resource_kind", "line"]
-    rows = scan(got.resources, assemble(custom=["support@[a-z.]+"]), fields=fields).collect()
+    rows = scan(got.resources, assemble(custom=["help@[a-z.]+"]), fields=fields).collect()
     assert [tuple(r) for r in rows] == [
-        ("support@example.org", HOST, HOST + "/data/more.json", HOST + "/assets/deep.js", 200, "application/json", "json", 1)
+        ("help@garden.test", HOST, HOST + "/plots/stock.json", HOST + "/js/seeds.js", 200, "application/json", "json", 1)
     ]
