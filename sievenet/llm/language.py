@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from sievenet.llm.tables import saved, small_enough
 from sievenet.llm.words import U64, mix
 
 ORDERS = (1, 2, 3, 4)
@@ -111,8 +112,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = CHARS
     rows = docs.where("lang is not null and text is not null").where(_letter())
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     rate = F.least(F.lit(1.0), per_language / F.col("n"), chars / F.greatest("chars", F.lit(1)))
-    sizes = sizes.select(F.col("lang").alias("label"), rate.alias("rate"))
-    return rows.join(sizes, F.col("lang") == F.col("label")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "text").distinct()
+    sizes = saved(sizes.select(F.col("lang").alias("label"), rate.alias("rate")), "languages")
+    return rows.join(F.broadcast(sizes) if small_enough(sizes, 128) else sizes, F.col("lang") == F.col("label")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "text").distinct()
 
 
 def _letter() -> Column:
