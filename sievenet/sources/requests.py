@@ -15,6 +15,10 @@ from sievenet.sources.lines import read_lines
 INHERITED_HEADERS = ("User-Agent", "Accept", "Accept-Language", "Accept-Encoding", "Cookie")
 
 
+# Bytes of one request's lines; a longer block gets an error instead of a row too large for a task.
+MAX_BLOCK = 256 << 20
+
+
 def is_request_line(line: Column) -> Column:
     parts = fields(line)
     return (F.size(parts) >= 3) & F.startswith(F.upper(F.get(parts, F.lit(2))), F.lit("HTTP/"))
@@ -104,8 +108,11 @@ def parse_requests(lines: DataFrame, *, strict: bool = True) -> DataFrame:
         )
     )
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "value"))), lambda r: r["value"]), "\n")
+    opened = blocks.where(F.col("_block").isNotNull())
+    sizes = opened.groupBy("file", "_block").agg(F.sum(F.octet_length("value") + 1).alias("_size"))
+    over = sizes.where(F.col("_size") > MAX_BLOCK)
     grouped = (
-        blocks.where(F.col("_block").isNotNull())
+        opened.join(over, ["file", "_block"], "left_anti")
         .groupBy("file", "_block")
         .agg(text.alias("_text"))
         .withColumn("_lines", F.split(trim_space(F.col("_text")), "\n", -1))
@@ -130,6 +137,16 @@ def parse_requests(lines: DataFrame, *, strict: bool = True) -> DataFrame:
             F.when(F.col("url").isNull(), F.lit("a request without a Host header has no URL")).alias("error"),
         )
     )
+    refused = over.select(
+        F.col("file").alias("source"),
+        F.col("_block").alias("req_ord"),
+        none.cast("string").alias("method"),
+        none.cast("string").alias("url"),
+        none.cast("map<string,array<string>>").alias("headers"),
+        none.cast("binary").alias("body"),
+        F.concat(F.lit("a request of "), F.col("_size").cast("string"), F.lit(" bytes is too large")).alias("error"),
+    )
+    raw = raw.unionByName(refused)
     if strict:
         checked = F.when(F.col("error").isNull(), F.col("url")).otherwise(F.raise_error(F.col("error")).cast("string"))
         raw = raw.withColumn("url", checked)

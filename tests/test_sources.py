@@ -48,6 +48,21 @@ def test_request_without_host(spark, tmp_path):
         read_requests(spark, str(tmp_path / "r.txt")).collect()
 
 
+def test_oversized_request(spark, tmp_path, monkeypatch):
+    (tmp_path / "r.txt").write_text("http://a/\nGET /x HTTP/1.1\nHost: h\n\n" + "body\n" * 50 + "GET /y HTTP/1.1\nHost: h\n")
+    monkeypatch.setattr("sievenet.sources.requests.MAX_BLOCK", 100)
+    rows = read_requests(spark, str(tmp_path / "r.txt"), strict=False).orderBy("req_ord").collect()
+    assert [(r.url, r.error is None) for r in rows] == [("http://a/", True), (None, False), ("https://h/y", True)]
+
+
+def test_several_request_files(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.txt").write_text(f"http://{name}/1\nhttp://same/\n")
+    rows = read_requests(spark, str(tmp_path))
+    assert [(r.req_ord, r.url) for r in rows.orderBy("req_ord").collect()] == [(1, "http://a/1"), (2, "http://same/"), (3, "http://b/1"), (4, "http://same/"), (5, "http://c/1"), (6, "http://same/")]
+    assert [r.req_ord for r in dedup_requests(rows).where("url = 'http://same/'").collect()] == [2]
+
+
 def test_dedup_and_order_of_sources(spark):
     one = url_requests(spark.createDataFrame([(1, "http://a"), (2, " "), (3, "http://b")], "req_ord bigint, url string"))
     two = url_requests(spark.createDataFrame([(1, "http://b"), (2, "http://c")], "req_ord bigint, url string"))
