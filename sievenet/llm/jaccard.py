@@ -185,7 +185,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
     Two rows link when denominator * intersection >= numerator * union of their sets of
     words-grams; component_id is the smallest doc_id that links reach.  Equal sets form one class
     with one representative, so copies make no pairs.  Representatives meet in fragments that are
-    equal in both; in rounds each is compared with one member per fragment, chosen anew each time,
+    equal in both; in rounds each is compared with one member that shares a fragment, chosen anew each time,
     and what is still apart is compared pair by pair, so no link between different sets is lost
     unless its ends are joined already.  Sketches reject most pairs that can't link before they
     become rows.
@@ -228,7 +228,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
         else:
             rank = F.lit(0).cast("long") if not turn else F.xxhash64("doc_id", "s", F.lit(turn))
             hubs = now.groupBy("s").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "n", "sketch", "c")).alias("hub")).select("s", "hub.*")
-            candidates = now.join(other(hubs), "s").where((F.col("c") != F.col("d")) & _may_link(t))
+            met = now.join(other(hubs), "s").where((F.col("c") != F.col("d")) & _may_link(t))
+            # one comparison a round joins a set to its group; the last round makes good what that leaves apart
+            one = F.min(F.struct((F.col("other") if not turn else F.xxhash64("other", F.lit(turn))).alias("rank"), F.col("other").alias("other"), F.col("m").alias("m"))).alias("one")
+            candidates = met.groupBy("doc_id", "n").agg(one).select("doc_id", "n", "one.other", "one.m")
         pairs = _pairs(candidates.select("doc_id", "n", "other", "m"))
         pairs = saved(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         found = saved(_verified(texts, pairs, words, t), "links")
