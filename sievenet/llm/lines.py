@@ -1,11 +1,13 @@
-"""Line dedup: content-defined chunks of lines, and those that repeat anywhere removed.  DataFrame functions only."""
+"""Line dedup: runs of lines that repeat anywhere, or content-defined chunks of them, removed.  DataFrame functions only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievenet.llm.tables import BROADCAST_BYTES, saved
+from sievenet.llm.tables import BROADCAST_BYTES, saved, sized_join
 
 SPACING = 4  # lines of a chunk on average: a boundary follows a line where the rolling hash is a multiple of it
 LEAST = 2  # lines of a chunk that may be removed
@@ -64,14 +66,41 @@ def removable(docs: DataFrame, spacing: int = SPACING, least: int = LEAST) -> Da
     return equal.groupBy(*KEY).agg(F.collect_set(F.struct("start", "size")).alias("gone"))
 
 
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """Lines to remove: doc_id, mark and gone, an array of (start, size).
+
+    A line goes if it lies in a run of two lines or more that begins earlier, by doc_id and line, as well.
+    Each such run is a chain of repeated pairs of lines, so the pairs that aren't the first of their SHA-256
+    cover all of them, wherever they begin.  A line that goes has an equal one before it: one of each stays.
+    """
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
+    hashed = lines.where(F.size("lines") > 1).select(*KEY, F.transform("lines", lambda line: F.sha2(line, 256)).alias("own"))
+    both = F.transform(F.sequence(F.lit(0), F.size("own") - 2), lambda i: F.unhex(F.sha2(F.concat(F.get("own", i), F.get("own", i + 1)), 256)))
+    pairs = saved(hashed.select(*KEY, F.posexplode(both).alias("start", "pair")), "pairs")
+    firsts = pairs.groupBy("pair").agg(F.min(F.struct("doc_id", "start", "mark")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = sized_join(pairs, saved(firsts.select("pair", "first"), "firsts"), "pair", "inner", 128).where(F.struct("doc_id", "start", "mark") != F.col("first"))
+    index = F.array_distinct(F.flatten(F.transform(F.collect_set("start"), lambda i: F.array(i, i + 1))))
+    return later.groupBy(*KEY).agg(F.transform(index, lambda i: F.struct(i.alias("start"), F.lit(1).alias("size"))).alias("gone"))
+
+
 def without_repeats(docs: DataFrame, spacing: int = SPACING, least: int = LEAST) -> DataFrame:
-    """row (a struct of all columns of docs), n_lines, n_removed and kept_text.
+    """As without, for chunks: passages between other lines lose only the chunks whose bounds agree."""
+    return without(docs, removable(docs, spacing, least))
+
+
+def without_runs(docs: DataFrame) -> DataFrame:
+    """As without, for all repeated runs of two lines or more."""
+    return without(docs, repeated_runs(docs))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """row (a struct of all columns of docs), n_lines, n_removed and kept_text; gone: doc_id, mark and lists of (start, size).
 
     A text's lines are what newlines part: an empty text is one empty line, a null text has none and its
     kept_text is null.  Rows without a doc_id keep all lines and take none from others.  Rows with the
     same doc_id and text count as one, so both keep what one keeps.
     """
-    gone = saved(removable(docs, spacing, least), "gone")
+    gone = saved(gone, "gone")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     rows = _attached(packed, gone, "gone", "left").withColumn("lines", F.split("text", "\n", -1))
     index = F.flatten(F.transform("gone", lambda g: F.sequence(g.start, g.start + g.size - 1)))
@@ -82,14 +111,14 @@ def without_repeats(docs: DataFrame, spacing: int = SPACING, least: int = LEAST)
     return rows.select("row", n.alias("n_lines"), removed.alias("n_removed"), kept.alias("kept_text"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = without_repeats) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (null for a null text) of each row of docs."""
-    return without_repeats(docs.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return cut(docs.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = without_repeats) -> DataFrame:
     """docs with text replaced by its kept lines, and n_chars by the new length where lines went.  Other columns stay."""
     new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return without_repeats(docs).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return cut(docs).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
