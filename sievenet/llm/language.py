@@ -15,16 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sievenet.llm.tables import saved, small_enough
+from sievenet.llm.tables import saved, sized_join, small_enough
 from sievenet.llm.words import U64, mix
 
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 600  # training texts of a language, on average at most
 CHARS_PER_LANGUAGE = 1_500_000  # and their characters
+LEAST = 50  # distinct texts of a language that are taken in any case
 LANDMARKS = 400
 RIDGE = 0.1
 UNKNOWN = "und"
@@ -108,12 +109,23 @@ class Model:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE) -> DataFrame:
-    """lang and text of a sample of labelled rows: by a hash of the text, at a rate per language that meets both limits."""
-    rows = docs.where("lang is not null and text is not null").where(_letter())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    """lang and text of a sample of distinct labelled texts: by a hash, at a rate per language that meets both limits.
+
+    The LEAST texts of a language that come first by hash are taken anyway, cut to an equal part of chars each.
+    """
+    draw, ident = F.pmod(F.xxhash64("text"), F.lit(1 << 30)), F.xxhash64("text")
+    rows = docs.where("lang is not null and text is not null").where(_letter()).select("lang", "text", draw.alias("draw"), ident.alias("ident"))
+    distinct = saved(rows.groupBy("lang", "draw", "ident").agg(F.max(F.length("text")).alias("size")), "distinct")
+    sizes = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
     rate = F.least(F.lit(1.0), per_language / F.col("n"), chars / F.greatest("chars", F.lit(1)))
-    sizes = saved(sizes.select(F.col("lang").alias("label"), rate.alias("rate")), "languages")
-    return rows.join(F.broadcast(sizes) if small_enough(sizes, 128) else sizes, F.col("lang") == F.col("label")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "text").distinct()
+    sizes = saved(sizes.select("lang", rate.alias("rate")), "languages")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "ident"))
+    first = distinct.withColumn("place", place).where(F.col("place") <= LEAST).select("lang", "draw", "ident")
+    drawn = sized_join(distinct, sizes, "lang", "inner", 128).where(F.col("draw") < F.col("rate") * (1 << 30)).select("lang", "draw", "ident", F.lit(True).alias("whole"))
+    taken = saved(drawn.unionByName(first.withColumn("whole", F.lit(False))).groupBy("lang", "draw", "ident").agg(F.max("whole").alias("whole")), "taken")
+    text = F.when(F.col("whole"), F.col("text")).otherwise(F.left("text", F.lit(max(1, chars // LEAST))))
+    keys = ["lang", "draw", "ident"]
+    return rows.join(F.broadcast(taken) if small_enough(taken, 128) else taken, keys).select("lang", text.alias("text")).distinct()
 
 
 def _letter() -> Column:
