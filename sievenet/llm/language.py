@@ -173,6 +173,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is unknown: null texts and texts without a letter.  Columns stay."""
-    model = train(docs.where(~held_out()))
+    """docs without the rows whose language is unknown: null texts and texts without a letter.  Columns stay.
+
+    All labelled rows teach.  If nothing can be learned, texts with a letter stay.
+    """
+    model = train(docs)
+    if not model.languages:
+        return docs.where(_letter())
     return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select("row.*")

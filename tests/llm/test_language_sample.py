@@ -14,3 +14,14 @@ def test_every_language_has_texts(spark):
         assert own["sv"] and all(any(t.startswith(r) for t, _ in long + copies) for r in own["sv"] + own["en"])
         if chars == 20_000:
             assert len(own["sv"]) == 3
+
+
+def test_stage_without_labels_keeps_documents(spark, monkeypatch):
+    rows = [(1, "words of some text", None), (2, "12 34", None), (3, None, None), (4, "другие слова", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in language.keep_known(frame).collect()} == {1, 4}
+    taught = []
+    real = language.train
+    monkeypatch.setattr(language, "train", lambda docs, **limits: taught.append(docs.count()) or real(docs, **limits))
+    language.keep_known(frame.withColumn("lang", language.F.lit("en"))).count()
+    assert taught == [4]
