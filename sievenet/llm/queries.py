@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievenet.llm import decontaminate, jaccard, language, licences, lines, mixing, substrings, urlgraph, vectors, warc
+from sievenet.llm import alignment, collocations, decontaminate, jaccard, language, licences, lines, mixing, passages, substrings, urlgraph, vectors, warc
 from sievenet.llm.tables import table
 
 
@@ -50,6 +50,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"), lines.without_runs)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measures(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_licence_scans,
     op2_mixing,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_warc,
     op9_url_filters,
     op10_line_dedup,
+    op11_phrase_collocations,
+    op12_tokenizer_alignment,
+    op13_suffix_array_dedup,
 )}
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -99,4 +114,19 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM docs d LEFT JOIN lists ON d.doc_id = lists.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op11_phrase_collocations": f"""
+        WITH texts AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, {LOWER.format("coalesce(text, '')")} AS t FROM documents),
+        pieces AS (SELECT d, lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM texts),
+        lists AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+        spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+        totals AS (SELECT lang, count(*) AS n FROM spots GROUP BY 1),
+        grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f FROM spots, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+        inner_parts AS (SELECT DISTINCT lang, f, unnest([array_to_string(string_split(g, ' ')[1:k - 1], ' '), array_to_string(string_split(g, ' ')[2:k], ' ')]) AS g FROM grams WHERE k > 2),
+        candidates AS (SELECT * FROM grams c WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.lang = c.lang AND i.g = c.g AND i.f = c.f)),
+        cuts AS (SELECT lang, g, k, f, string_split(g, ' ') AS w, unnest(range(1, k)) AS cut FROM candidates),
+        scored AS (SELECT c.lang, c.g, c.f AS a, cut, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score
+          FROM cuts c JOIN totals t ON c.lang = t.lang JOIN grams x ON x.lang = c.lang AND x.g = array_to_string(w[1:cut], ' ') JOIN grams y ON y.lang = c.lang AND y.g = array_to_string(w[cut + 1:c.k], ' ')),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM lowest)
+        SELECT lang, rank::BIGINT AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,24 @@ def sized_join(left: DataFrame, right: DataFrame, on: str, how: str, row_bytes:
 def parts_for(total_bytes: float, each: int = 32 << 20) -> int:
     """Partitions of about so many bytes."""
     return max(1, math.ceil(total_bytes / each))
+
+
+def slices(frame: DataFrame, key: str, row_bytes: int) -> list[Callable[[DataFrame], DataFrame]]:
+    """Filters that cut frames by a whole-number key, so that each slice of frame, a stored table, may be broadcast."""
+    n = parts_for(frame.count() * row_bytes, BROADCAST_BYTES)
+    if n == 1:
+        return [lambda rows: rows]
+    return [lambda rows, k=k: rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
+def small_share_join(left: DataFrame, right: DataFrame, on: str, copies: str, share: int = 1000) -> DataFrame:
+    """A left join on a key that right, a stored table, holds once, with how many rows of left have it.
+
+    Keys with a thousandth of all rows or more, which are a thousand at most, are broadcast; the others join by
+    shuffle, where no key is large.  left should be stored too: it is read twice.
+    """
+    total = right.agg(F.sum(copies)).first()[0] or 0
+    large = F.col(copies) * share >= total
+    hot, rest = right.where(large).drop(copies), right.where(~large).drop(copies)
+    here = left.join(F.broadcast(hot), on)
+    return here.unionByName(left.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on, "left"))
