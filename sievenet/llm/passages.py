@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievenet.llm.tables import saved, small_share_join
+from sievenet.llm.tables import saved, sized_join, small_share_join
 from sievenet.llm.words import U64, mix, signed
 
 LENGTH = 400  # bytes of a window
 GRAMS = (128, 256)  # bytes of the grams that make anchors, level by level; the last level's are as long as the window
 RUN = 1024  # windows of a block at most; longer runs are cut, windows never
 GROUP = 2048  # different blocks of an anchor in one suffix array
-SHARD = 1 << 21  # bytes of a suffix array, about
+SHARD = 1 << 19  # bytes of a suffix array, about
+PAIRS = 1 << 12  # suffixes compared at once
 CHUNK = 1 << 21  # bytes hashed at once; a longer text is a chunk of its own
 
 _STEP = 0x9E3779B97F4A7C15
@@ -90,7 +91,7 @@ def _chunks(bodies: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
-_BLOCKS = "key binary, doc bigint, mark binary, start int, at int, n int, anchor bigint, block binary, inner boolean"
+_BLOCKS = "key binary, doc bigint, mark bigint, start int, at int, n int, anchor bigint, block binary, inner boolean"
 
 
 def _blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -127,80 +128,48 @@ def _blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     for s, n, anchor in zip(starts.tolist(), counts.tolist(), anchors, strict=True):
                         out[7].append(hashlib.blake2b(raw[s : s + n + length - 1], digest_size=16).digest())
                         out[8].append(n > 1 and int(np.count_nonzero(hashes[s : s + n + width - 1] == anchor)) > 1)
-                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "doc", "mark", "start", "at", "n", "anchor", "block", "inner"])
 
     return texts.mapInArrow(run, _BLOCKS)
 
 
-class SuffixArray:
-    """The order of the suffixes of some passages, told apart by their first 8, 16, ... bytes until depth is reached.
+def suffix_order(data: bytes, starts: np.ndarray, depth: int) -> np.ndarray:
+    """starts, in the order of the depth bytes from each on; equal ones by place."""
+    keys = [data[i : i + depth] for i in starts.tolist()]
+    return starts[sorted(range(len(keys)), key=keys.__getitem__)]
+
+
+def _common(data: np.ndarray, i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common beginning of the depth bytes from i and from j on."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, depth)
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), PAIRS):
+        differ = windows[i[at : at + PAIRS]] != windows[j[at : at + PAIRS]]
+        first = differ.argmax(axis=1)
+        out[at : at + PAIRS] = np.where(differ[np.arange(len(first)), first], first, depth)
+    return out
 
-    A suffix ends with its passage.  Two that are equal in all bytes compared share a rank.
-    """
 
-    def __init__(self, passages: list[bytes], depth: int):
-        self.data = np.frombuffer(b"".join(passages), np.uint8)
-        sizes = np.array([len(p) for p in passages], np.int64)
-        n = len(self.data)
-        self.left = (np.repeat(np.cumsum(sizes), sizes) - np.arange(n)).astype(np.int32)
-        words = np.zeros(n, U64)
-        for k in range(min(8, n)):
-            words[: n - k] |= self.data[k:].astype(U64) << U64(56 - 8 * k)
-        # what is left of a passage after its last whole word equals nothing
-        whole = self.left >= 8
-        rank = np.empty(n, np.int32)
-        _, back = np.unique(words[whole], return_inverse=True)
-        rank[whole] = back
-        rank[~whole] = n + np.flatnonzero(~whole)
-        self.levels = [(8, rank)]
-        size = 8
-        while size < depth:
-            after = np.arange(n, dtype=np.int64) + 2 * n
-            inside = np.flatnonzero(self.left > size)
-            after[inside] = rank[inside + size]
-            values, back = np.unique(rank.astype(np.int64) * (3 * n + 1) + after, return_inverse=True)
-            rank, size = back.astype(np.int32), 2 * size
-            self.levels.append((size, rank))
-            if len(values) == n:
-                break
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common beginning of suffixes i and j, whole below twice the depth."""
-        i, j, total = i.copy(), j.copy(), np.zeros(len(i), np.int64)
-        going = np.ones(len(i), bool)
-        steps = [(size, rank) for size, rank in reversed(self.levels)] + [(1, self.data)] * 7
-        for size, values in steps:
-            at = np.flatnonzero(going)
-            same = at[values[i[at]] == values[j[at]]]
-            total[same] += size
-            ends = (self.left[i[same]] <= size) | (self.left[j[same]] <= size)
-            i[same] += size
-            j[same] += size
-            going[same[ends]] = False
-            if size == 1:
-                going[np.setdiff1d(at, same, assume_unique=True)] = False
-        return total
-
-    def previous_factors(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix of starts (ascending): the longest match with one of them that begins earlier, and where that begins."""
-        order = starts[np.argsort(self.levels[-1][1][starts], kind="stable")]
-        m = len(order)
-        best, source = np.zeros(m, np.int64), np.full(m, -1, np.int64)
-        for step in (-1, 1):
-            near = np.arange(m) + step
-            while True:  # past those that begin later, and past all that they have passed
-                inside = (near >= 0) & (near < m)
-                later = np.flatnonzero(inside)[order[near[inside]] > order[inside]]
-                if not len(later):
-                    break
-                near[later] = near[near[later]]
-            at = np.flatnonzero((near >= 0) & (near < m))
-            found = self.common(order[at], order[near[at]])
-            longer = found > best[at]
-            best[at[longer]], source[at[longer]] = found[longer], order[near[at[longer]]]
-        back = np.argsort(order)
-        return best[back], source[back]
+def previous_factors(data: bytes, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of starts (ascending): its longest match with one that begins earlier, up to depth, and where that begins."""
+    order = suffix_order(data, starts, depth)
+    letters = np.frombuffer(data, np.uint8)
+    m = len(order)
+    best, source = np.zeros(m, np.int64), np.full(m, -1, np.int64)
+    for step in (-1, 1):
+        near = np.arange(m) + step
+        open_ = np.flatnonzero((near >= 0) & (near < m))
+        while len(open_):  # past those that begin later, and past all that they have passed
+            open_ = open_[order[near[open_]] > order[open_]]
+            near[open_] = near[near[open_]]
+            open_ = open_[(near[open_] >= 0) & (near[open_] < m)]
+        at = np.flatnonzero((near >= 0) & (near < m))
+        found = _common(letters, order[at], order[near[at]], depth)
+        longer = found > best[at]
+        best[at[longer]], source[at[longer]] = found[longer], order[near[at[longer]]]
+    back = np.argsort(order)
+    return best[back], source[back]
 
 
 def _spans(flags: np.ndarray) -> list[int]:
@@ -210,10 +179,11 @@ def _spans(flags: np.ndarray) -> list[int]:
 
 def compare(passages: list[bytes], length: int) -> list[tuple[list[int], list[int]]]:
     """Per passage, in order: the windows that occur elsewhere, and those that occur earlier, as spans of their first bytes."""
-    array = SuffixArray(passages, length)
-    starts = np.flatnonzero(array.left >= length)
-    factors, sources = array.previous_factors(starts)
-    later = np.zeros(len(array.data), bool)
+    data = b"".join(passages)
+    ends = np.cumsum([len(p) for p in passages])
+    starts = np.concatenate([np.arange(end - len(p), end - length + 1) for p, end in zip(passages, ends.tolist(), strict=True)])
+    factors, sources = previous_factors(data, starts, length)
+    later = np.zeros(len(data), bool)
     later[starts] = factors >= length
     every = later.copy()
     every[sources[factors >= length]] = True
@@ -256,7 +226,8 @@ def _compared(blocks: DataFrame, length: int) -> DataFrame:
 
 def _fetched(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """asked (anchor, block, n, place) with the bytes of each block."""
-    wanted = asked.groupBy(F.col("place.key").alias("key"), F.col("place.doc").alias("doc")).agg(F.collect_list(F.struct("place.at", "n", "anchor", "block")).alias("wanted"))
+    wanted = saved(asked.groupBy(F.col("place.key").alias("key"), F.col("place.doc").alias("doc")).agg(F.collect_list(F.struct("place.at", "n", "anchor", "block")).alias("wanted")), "wanted")
+    texts = sized_join(texts, wanted.select("key", "doc"), ["key", "doc"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,11 +243,11 @@ def _fetched(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                         out, size = [], 0
             yield _fetched_rows(out)
 
-    return texts.join(wanted, ["key", "doc"]).mapInArrow(run, "anchor bigint, block binary, doc bigint, mark binary, start int, body binary")
+    return texts.join(wanted, ["key", "doc"]).mapInArrow(run, "anchor bigint, block binary, doc bigint, mark bigint, start int, body binary")
 
 
 def _fetched_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     columns = list(zip(*rows, strict=True)) or [()] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "block", "doc", "mark", "start", "body"])
 
@@ -284,11 +255,12 @@ def _fetched_rows(rows: list[tuple]) -> pa.RecordBatch:
 def _windows(texts: DataFrame, length: int, grams: tuple[int, ...], group: int) -> DataFrame:
     """key, doc, at, every and later: per block with repeated windows, which of its windows occur elsewhere and which occur earlier."""
     blocks = saved(_blocks(texts, length, grams[0]), "blocks")
+    shared = saved(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.max("inner").alias("inner")).where("k > 1 or inner").select("anchor"), "shared")
     place = F.min(F.struct("doc", "mark", "start", "key", "at")).alias("place")
-    distinct = blocks.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("inner").alias("inner"), place)
+    distinct = sized_join(blocks, shared, "anchor", "left_semi").groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("inner").alias("inner"), place)
     distinct = saved(distinct, "distinct")
-    shared = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.max("inner").alias("inner")).where("m > 1 or inner").select("anchor", "m")
-    asked = saved(distinct.select("anchor", "block", "n", "place").join(shared, "anchor"), "asked")
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.max("inner").alias("inner")).where("m > 1 or inner").select("anchor", "m")
+    asked = saved(distinct.select("anchor", "block", "n", "place").join(several, "anchor"), "asked")
     if len(grams) == 1:  # windows of an anchor are equal here
         found = _compared(_fetched(texts, asked, length), length)
     else:
@@ -319,9 +291,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, keep_first: bool =
     other otherwise.  Texts of any length are read whole.  Only doc_id and text are used.
     """
     grams = tuple(sorted({min(g, length) for g in (*GRAMS, length)}))
-    mark = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), mark.alias("key"), F.col("text").cast("binary").alias("body"))
-    texts = rows.where(F.octet_length("body") >= length).select("key", "doc", F.col("key").alias("mark"), F.lit(0).alias("base"), "body")
+    key = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), key.alias("key"), F.col("text").cast("binary").alias("body"))
+    # among rows with one doc_id, texts are ordered by a hash
+    texts = rows.where(F.octet_length("body") >= length).select("key", "doc", F.xxhash64("body").alias("mark"), F.lit(0).alias("base"), "body")
     taken = F.col("later" if keep_first else "every")
     hits = _windows(texts, length, grams, group).select("key", "doc", F.struct("at", taken.alias("spans")).alias("hit")).where("size(hit.spans) > 0")
     hits = saved(hits.groupBy("key", "doc").agg(F.collect_list("hit").alias("hits")), "hits")

@@ -30,7 +30,7 @@ def small_enough(frame: DataFrame, row_bytes: int) -> bool:
     return frame.count() * row_bytes <= BROADCAST_BYTES
 
 
-def sized_join(left: DataFrame, right: DataFrame, on: str, how: str, row_bytes: int = 64) -> DataFrame:
+def sized_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int = 64) -> DataFrame:
     """A join that broadcasts right, a stored table, where its counted rows allow that and shuffles otherwise."""
     return left.join(F.broadcast(right) if small_enough(right, row_bytes) else right, on, how)
 
