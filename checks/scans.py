@@ -121,6 +121,28 @@ check(
     )
 )
 
+# Loops whose repeats begin alike, overlap what follows, or may be empty.
+_AMBIGUOUS = assemble(
+    custom=[
+        r"(?:[a-z0-9-]+\.)+[a-z]{2,}",
+        r"https?://(?:[\w-]+\.)+\w+",
+        r"(?:\w+\.)*\w+@\w+",
+        r"(\w+,)+x",
+        "(?:[^,]+,)+end",
+        "(e|en)*t",
+        r"(?:[0-9]+\.)+[0-9]+",
+        r"(\w+\s?)+$",
+        "(?:[A-Z][a-z]+ )+[A-Z]",
+        "([a-z]+[0-9]*)+@",
+        "t(?:h*|eh*)*",
+        r"\b(?:[a-z]+ ){2,}the\b",
+        "(?:an|a|n)+?d",
+    ]
+)
+check("scan_ambiguous_loops", f"WITH {t.DOCUMENTS_SQL}, {t.lines_sql('docs')} " + matches_sql(_AMBIGUOUS, columns="capture_id, line, pattern, matched_value"))(
+    lambda spark, sf: scan(t.documents(spark, sf), _AMBIGUOUS, fields=["line", "pattern", "matched_value"], keep=[ID])
+)
+
 # Byte windows are cut on the hex form; broken characters at a cut are counted.
 _CONTEXT_PATTERNS = assemble(custom=["[Tt]h[a-z]+", "é[a-zé]+"])
 _CONTEXT_SQL = (

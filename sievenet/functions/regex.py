@@ -15,7 +15,8 @@ Java repeats a group by recursion, which overflows the stack on long lines.  So
 alternatives of one character become a class, and an unbounded loop over a
 larger group becomes possessive, which is no recursion.  That keeps all
 matches if one repeat's text never begins another's and what follows can't begin
-a repeat, or if nothing follows.  Other such loops are refused.
+a repeat, or if nothing follows.  Patterns with other such loops, and with loops over
+what may be empty, are rewritten by :mod:`sievenet.functions.automata`.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+from sievenet.functions.automata import TooLarge, unambiguous
+
 MAX_REPEAT = 1000
 _MAX_CODE = sys.maxunicode
 
@@ -60,7 +63,7 @@ class RegexSyntaxError(ValueError):
 
 
 class RegexLoopError(RegexSyntaxError):
-    """The pattern is valid, but a loop in it could overflow the stack on a long line."""
+    """The pattern is valid, but no unambiguous form of one of its loops is known or small enough."""
 
 
 @dataclass(frozen=True)
@@ -162,8 +165,11 @@ class _Node:
     size: int | None = None  # characters, where all matches have as many
     fixed: bool = False  # one character after another, no choices
     loops: tuple[_Loop, ...] = ()  # loops at the end, whose follower isn't known yet
+    tree: tuple | None = None  # for automata, where all classes are known
 
     def __post_init__(self):
+        if self.ranges is not None and self.tree is None:
+            self.tree = ("set", self.ranges)
         if self.ranges is not None and self.first is None:
             self.first, self.delimited, self.fixed, self.size = self.ranges, True, True, 1
 
@@ -179,6 +185,13 @@ def _disjoint(one, two) -> bool:
     return one is not None and two is not None and all(b < c or d < a for a, b in one for c, d in two)
 
 
+def _is_plain(tree: tuple | None) -> bool:
+    """Whether a tree is known and free of assertions."""
+    if tree is None or tree[0] == "assert":
+        return False
+    return tree[0] == "set" or (_is_plain(tree[1]) if tree[0] == "rep" else all(map(_is_plain, tree[1])))
+
+
 def _best(clauses):
     return max(clauses, key=lambda c: (min(map(len, c)), -len(c)), default=None)
 
@@ -187,6 +200,7 @@ class _Translator:
     def __init__(self, source: str):
         self.source, self.pos = source, 0
         self.flags = {"i": False, "m": False, "s": False, "U": False}
+        self.uncertain = False  # a loop was met that can't be made possessive as it stands
 
     def fail(self, why: str):
         raise RegexSyntaxError(f"invalid regex {self.source!r}: {why}")
@@ -207,12 +221,30 @@ class _Translator:
         node = self.alternation(top=True)
         if self.pos < len(self.source):
             self.fail("unexpected )")
+        java = self.without_ambiguity(node) if self.uncertain else node.java
         if node.nullable:
             # Drop an empty match that touches the previous match.
-            return SparkRegex(self.source, f"(?>{node.java})(?:(?!\\G)|\\A)")
+            return SparkRegex(self.source, f"(?>{java})(?:(?!\\G)|\\A)")
         useful = [c for c in node.clauses if all(len(s) > 1 or s not in _TOO_COMMON for s in c)]
         useful.sort(key=lambda c: -min(map(len, c)))
-        return SparkRegex(self.source, node.java, tuple(useful[:3]))
+        return SparkRegex(self.source, java, tuple(useful[:3]))
+
+    def without_ambiguity(self, node: _Node) -> str:
+        """The pattern by way of an automaton; assertions can lead and end it."""
+        parts = list(node.tree[1]) if node.tree and node.tree[0] == "cat" else [node.tree]
+        before, end = [], ""
+        while parts and parts[0] and parts[0][0] == "assert":
+            before.append(parts.pop(0)[2])
+        if parts and parts[-1] and parts[-1][0] == "assert" and parts[-1][1] in ("z", "b", "B"):
+            end = parts.pop()[1]
+        if not all(map(_is_plain, parts)):
+            raise RegexLoopError(f"cannot run {self.source!r} on long lines: it repeats a group whose ends are not certain, beside an assertion or a Unicode class")
+        try:
+            java, lead = unambiguous(("cat", parts), end, _class_text)
+        except TooLarge as error:
+            raise RegexLoopError(f"cannot run {self.source!r} on long lines: it repeats a group whose ends are not certain, and {error}") from error
+        guard = f"(?:(?<!{lead})|\\G)" if lead and not before else ""
+        return "".join(before) + guard + java
 
     def alternation(self, top: bool = False) -> _Node:
         saved = dict(self.flags)
@@ -230,6 +262,7 @@ class _Translator:
             ranges = _merge([r for parts in branches for r in parts[0].ranges])
             return _Node(_class_text(ranges), ranges=ranges)
         nodes = [self.join(parts) for parts in branches]
+        trees = [n.tree for n in nodes]
         clauses = [c for c in nodes[0].clauses if all(c in n.clauses for n in nodes)]
         if not clauses:
             picks = [_best(n.clauses) for n in nodes]
@@ -243,6 +276,7 @@ class _Translator:
             delimited=all(n.delimited for n in nodes) and all(_disjoint(a.first, b.first) or a.size == b.size is not None for i, a in enumerate(nodes) for b in nodes[:i]),
             size=nodes[0].size if len({n.size for n in nodes}) == 1 else None,
             loops=tuple(loop for n in nodes for loop in n.loops),
+            tree=("alt", trees) if all(trees) else None,
         )
 
     @staticmethod
@@ -253,13 +287,10 @@ class _Translator:
             lead.java = f"(?:(?<!{lead.run.java})|\\G){lead.java}"
 
     def settle(self, loops, following) -> tuple[_Loop, ...]:
-        """The loops that may still end the match; those that what follows could enter are refused."""
+        """The loops that may still end the match; those that what follows could enter are uncertain."""
         for loop in loops:
             if not loop.delimited or not _disjoint(loop.first, following.first) or not (loop.tail is None or _disjoint(loop.tail, following.first)):
-                raise RegexLoopError(
-                    f"cannot run {self.source!r} on long lines: it repeats a group without bound where the end of a repeat "
-                    "is not certain; give the repeats distinct first characters, or a bound such as {0,100}"
-                )
+                self.uncertain = True
         return tuple(loops) if following.nullable else ()
 
     @staticmethod
@@ -309,6 +340,7 @@ class _Translator:
             size=sum(p.size for p in parts) if all(p.size is not None for p in parts) else None,
             fixed=all(p.fixed for p in parts),
             loops=loops,
+            tree=("cat", [p.tree for p in parts]) if all(p.tree for p in parts) else None,
         )
 
     def sequence(self) -> list[_Node]:
@@ -361,6 +393,9 @@ class _Translator:
         if self.bounds() is not None:
             self.fail("invalid nested repetition operator")
         suffix = "?" if lazy != self.flags["U"] else ""
+        greedy = not suffix
+        if node.nullable and most is None:
+            self.uncertain = True
         if not suffix and most is None and least < 2 and self.absorbs_repeats(node):
             text = "" if least else "?"
         loops = node.loops
@@ -384,6 +419,7 @@ class _Translator:
             size=node.size * least if node.size is not None and least == most else None,
             fixed=node.fixed and least == most,
             loops=loops,
+            tree=("rep", node.tree, least, most, greedy) if node.tree else None,
         )
 
     @staticmethod
@@ -414,6 +450,10 @@ class _Translator:
 
     # -- atoms -------------------------------------------------------------
 
+    @staticmethod
+    def assertion(kind: str, java: str) -> _Node:
+        return _Node(java, nullable=True, tree=("assert", kind, java))
+
     def char(self, code: int) -> _Node:
         if self.flags["i"] and code in _fold_orbits():
             return self.klass([(code, code)])
@@ -437,9 +477,9 @@ class _Translator:
         if char == ".":
             return self.klass([] if self.flags["s"] else [(10, 10)], negated=True)
         if char == "^":
-            return _Node("(?:\\A|(?<=\\n))" if self.flags["m"] else "\\A", nullable=True)
+            return self.assertion("m" if self.flags["m"] else "A", "(?:\\A|(?<=\\n))" if self.flags["m"] else "\\A")
         if char == "$":
-            return _Node("(?=\\n|\\z)" if self.flags["m"] else "\\z", nullable=True)
+            return self.assertion("m" if self.flags["m"] else "z", "(?=\\n|\\z)" if self.flags["m"] else "\\z")
         if char in "*+?":
             self.fail("missing argument to repetition operator")
         if char == "{":
@@ -481,6 +521,7 @@ class _Translator:
             size=inner.size,
             fixed=inner.fixed or inner.ranges is not None,
             loops=inner.loops,
+            tree=inner.tree,
         )
 
     def inline_flags(self) -> str:
@@ -506,14 +547,14 @@ class _Translator:
         if char in "pP":
             return self.klass([], [self.unicode_class(char == "P")])
         if char == "A":
-            return _Node("\\A", nullable=True)
+            return self.assertion("A", "\\A")
         if char == "z":
-            return _Node("\\z", nullable=True)
+            return self.assertion("z", "\\z")
         if char in "bB":
             sides = (f"(?<={_WORD})(?!{_WORD})", f"(?<!{_WORD})(?={_WORD})")
             if char == "B":
                 sides = (f"(?<={_WORD})(?={_WORD})", f"(?<!{_WORD})(?!{_WORD})")
-            return _Node(f"(?:{sides[0]}|{sides[1]})", nullable=True)
+            return self.assertion(char, f"(?:{sides[0]}|{sides[1]})")
         self.pos -= 1
         return self.char(self.escaped_code())
 
