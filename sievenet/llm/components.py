@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Every step is a grouped minimum, combined before the shuffle, and an equi-join,
-so a node with very many links costs one row per task and its links stay spread.
+Every step is a grouped minimum, combined before the shuffle, and an equi-join whose other side has one row a
+node; the links of one node with very many meet in that join, where adaptive execution splits them.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         moved = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = saved(moved.where("u != v").distinct(), "edges")
         # done when no root hangs below another node
-        if edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").isEmpty():
+        if edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").isEmpty():
             break
     pairs = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())

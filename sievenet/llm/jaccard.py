@@ -23,7 +23,7 @@ from sievenet.llm.words import FOLDED_WORDS, U64, Chunk, chunks, grams, mix, sig
 
 RATIO = 1.5  # sizes of a class lie within this factor
 SKETCH = 8  # 64-bit words of a set's parity sketch
-SPARE = 1.05  # share of fragments that may be empty without becoming candidates' only match
+SPARE = 1.1  # fragments for each that may differ; some are empty
 DENSE = 64  # comparisons per posting up to which all pairs that are apart are tested
 OVERLAP_CUT = 1024  # n-grams of a set in one vertical partition, about
 
@@ -74,8 +74,10 @@ class Signatures:
             cuts = np.searchsorted(ordered, (np.arange(1, n, dtype=U64) * U64((1 << 64) // n)))
             cuts = np.concatenate([[0], cuts, [size]])
             some = cuts[1:] > cuts[:-1]
-            if n - np.count_nonzero(~some) <= differ:
-                some[:] = True  # too many empty fragments: those may be the only equal ones
+            # the most that this set and any partner of the class can differ in; an equal fragment is empty in both or in neither
+            own = math.floor((size + min(int(self.tops[k]), math.floor(size / self.t))) * self.share)
+            if n - np.count_nonzero(~some) <= own:
+                some[:] = True  # so many empty fragments that those may be the only equal ones
             at = np.flatnonzero(some)
             value = total[cuts[at + 1]] - total[cuts[at]]
             out.append(mix(value ^ mix((at.astype(U64) << U64(20)) + U64(k + 1))))
