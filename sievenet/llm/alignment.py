@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +72,7 @@ class Tokenizers:
         byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
 
-    def encode(self, text: bytes) -> tuple[list[int], list[int]] | None:
+    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray] | None:
         """Both token lists of space + text; None where the joined bytes of one differ from that."""
         try:
             whole = text.decode()
@@ -81,11 +83,13 @@ class Tokenizers:
             at = found.end()
             cuts.append(at)
         parts = [whole] if len(cuts) == 1 else [whole[a : b - 1] for a, b in zip(cuts, [*cuts[1:], len(whole) + 1])]
-        one = [t for part in parts for t in self.one.encode_ordinary(" " + part)]
-        two = [t for found in self.two.encode(parts, num_threads=1) for t in found]
-        want = b" " + text
-        if b"".join(map(self.bytes_one.__getitem__, one)) != want or b"".join(map(self.bytes_two.__getitem__, two)) != want:
+        one = np.concatenate([self.one.encode_to_numpy(" " + part, disallowed_special=()) for part in parts])
+        found = self.two.encode(parts, num_threads=1)
+        two = found[0] if len(found) == 1 else [t for own in found for t in own]
+        # a byte-level BPE gives back all bytes of what it reads; the other one may change the text
+        if int(self.lengths_one[one].sum()) != len(text) + 1 or b"".join(map(self.bytes_two.__getitem__, two)) != b" " + text:
             return None
+        two = np.array(two, np.int64)
         return one, two
 
 
@@ -126,8 +130,7 @@ def align(texts: list[bytes], tokenizers: Tokenizers) -> list[tuple]:
     some = [f for f in found if f is not None]
     n_a = np.array([len(f[0]) for f in some], np.int64)
     n_b = np.array([len(f[1]) for f in some], np.int64)
-    a = np.fromiter((t for f in some for t in f[0]), np.int64, n_a.sum())
-    b = np.fromiter((t for f in some for t in f[1]), np.int64, n_b.sum())
+    a, b = (np.concatenate([f[k] for f in some]).astype(np.int64) if some else np.zeros(0, np.int64) for k in (0, 1))
     end_a, end_b = np.cumsum(tokenizers.lengths_one[a]), np.cumsum(tokenizers.lengths_two[b])
     shared = np.intersect1d(end_a, end_b, assume_unique=True)
     g_a, g_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
@@ -157,6 +160,15 @@ def align(texts: list[bytes], tokenizers: Tokenizers) -> list[tuple]:
     return out
 
 
+def _loaded(files: list[bytes]) -> Tokenizers:
+    """The tokenizers, once a Python worker: this module travels by value and is new in every task, so they are kept by another name."""
+    kept = sys.modules.setdefault("sievenet_worker_tokenizers", types.ModuleType("sievenet_worker_tokenizers")).__dict__
+    key = hashlib.sha256(b"".join(files)).digest()
+    if kept.get("key") != key:
+        kept.update(key=key, tokenizers=Tokenizers(*files))
+    return kept["tokenizers"]
+
+
 def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
     now, size = [], 0
     for t in texts:
@@ -186,7 +198,7 @@ def aligned(texts: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_B
     files = spark.sparkContext.broadcast([open(path, "rb").read() for path in (byte_bpe, piece_bpe)])  # a vocabulary each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = Tokenizers(*files.value)
+        tokenizers = _loaded(files.value)
         for batch in batches:
             at = 0
             for some in _slices(batch.column("text").cast(pa.large_binary()).to_pylist()):
