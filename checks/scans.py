@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import tables as t
@@ -9,9 +10,9 @@ from sievenet.functions import text as T
 from sievenet.operators.scan import lines, scan, top_findings
 from sievenet.session import new_dir
 from sievenet.sinks.corpus import read_corpus, write_corpus
-from sievenet.sinks.findings import CSV_OPTIONS, stream_findings, write_findings
+from sievenet.sinks.findings import CSV_OPTIONS, output_kind, stream_findings, write_findings, write_report
 from sievenet.sources.captures import normalize_captures
-from sievenet.sources.patterns import assemble, find_by_names, packaged_patterns, parse_catalog, select_patterns
+from sievenet.sources.patterns import assemble, find_by_names, load_patterns, packaged_patterns, parse_catalog, select_patterns
 from sievenet.sources.saved import find_scan_dirs, read_saved_scans, resolve_saved_scans
 
 QUERIES, ORACLES = {}, {}
@@ -327,6 +328,58 @@ check(
   '","status":"', status, '"}'), '&', '\u0026') AS value FROM f""",
 )(_written("json"))
 
+
+
+def _report(spark, sf):
+    """The lines of a written report, numbered part after part as they are read back."""
+    path = new_dir(spark, "report")
+    found = scan(t.documents(spark, sf), _ALL, fields=["resource_url", "line", "matched_value"], keep=["pattern_ord", "match_ord"])
+    write_report(found, path, "plain")
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("part"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    return rows.withColumn("place", place).join(before, "part").select((F.col("before") + F.col("place")).cast("bigint").alias("place"), "value")
+
+
+check(
+    "report_order",
+    f"WITH {t.DOCUMENTS_SQL}, {t.lines_sql('docs')}, f AS ("
+    + matches_sql(_ALL, columns="final_url AS resource_url, line, matched_value, pattern_ord")
+    + ") SELECT row_number() OVER (ORDER BY resource_url, line, matched_value, pattern_ord) AS place, concat_ws(chr(9), resource_url, line, matched_value) AS value FROM f",
+)(_report)
+
+_OUTPUTS = "concat(['', ' ', 'out/', 'a.b/c/'][CAST(page_id % 4 AS INT) + 1], ['json', 'plain', 'csv', 'parquet', 'x.JSON', 'y.Csv', 'z.txt', url, 'JSON', 'w.json '][CAST(page_id % 10 AS INT) + 1])"
+check(
+    "output_kind",
+    f"""WITH o AS (SELECT page_id, {_OUTPUTS} AS output FROM pages)
+  SELECT page_id, output, CASE WHEN trim(output) IN ('plain', 'json', 'csv', 'parquet') THEN trim(output)
+    WHEN regexp_matches(lower(trim(output)), '[.](json|csv)$') THEN regexp_extract(lower(trim(output)), '[.]([a-z]*)$', 1) ELSE 'plain' END AS kind FROM o""",
+)(
+    lambda spark, sf: t.read(spark, sf, "pages")
+    .select("page_id", F.expr("concat(elt(CAST(page_id % 4 AS INT) + 1, '', ' ', 'out/', 'a.b/c/'), elt(CAST(page_id % 10 AS INT) + 1, 'json', 'plain', 'csv', 'parquet', 'x.JSON', 'y.Csv', 'z.txt', url, 'JSON', 'w.json '))").alias("output"))
+    .withColumn("kind", output_kind(F.col("output")))
+)
+
+
+def _precedence(spark, sf):
+    """Of a missing, a broken and two good pattern files only the first good one counts."""
+    root = new_dir(spark, "patterns")
+    brands = t.read(spark, sf, "part").select("p_brand").distinct().orderBy("p_brand")
+    line = lambda text: brands.select(F.expr(text).alias("value")).coalesce(1)
+    line("p_brand").write.text(f"{root}/broken")
+    line("concat(p_brand, ' || ', lower(p_brand), '[0-9]* || x')").write.text(f"{root}/first")
+    line("concat('never || ', p_brand)").write.text(f"{root}/second")
+    found = load_patterns(spark, ["", f"{root}/none", f"{root}/broken", f"{root}/first", f"{root}/second"])
+    rows = [(p.name, p.regex, p.source.replace(root, "")) for p in found]
+    return spark.createDataFrame(rows, "name string, regex string, source string")
+
+
+check(
+    "pattern_precedence",
+    "SELECT DISTINCT p_brand AS name, concat(lower(p_brand), '[0-9]* || x') AS regex, concat('builtin:/first:', p_brand) AS source FROM part",
+)(_precedence)
+
 # -- saved scans -------------------------------------------------------------
 
 _HOST = "regexp_extract(url, '//([^/]+)', 1)"

@@ -7,7 +7,7 @@ from sievenet.operators.scope import build_frontier, parse_target, url_in_scope
 from sievenet.plans.runs import Run, scan_requests, scan_saved, scan_url
 from sievenet.session import session, spread
 from sievenet.sinks.corpus import read_corpus, write_corpus
-from sievenet.sinks.findings import stream_findings, write_findings
+from sievenet.sinks.findings import stream_findings, write_findings, write_report
 from sievenet.sources.captures import latest_captures, normalize_captures
 from sievenet.sources.patterns import Pattern, assemble, find_by_names, load_patterns, packaged_patterns
 from sievenet.sources.requests import combine_requests, dedup_requests, read_requests, url_requests

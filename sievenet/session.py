@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 # Capture bodies reach 8 MiB, so batches handed to Python are kept short and
 # input splits are left at Spark's 128 MB.
@@ -48,16 +49,30 @@ def new_dir(spark: SparkSession, name: str) -> str:
 class Size(NamedTuple):
     rows: int
     bytes: int
-    """Of the rows as text, an upper guess of what a broadcast moves."""
+    """Of the rows in memory, what a broadcast moves."""
+
+
+def row_bytes(value: Column, kind: DataType) -> Column:
+    """Bytes of a value in a row: lengths of its strings and bodies, a word or two for anything else."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint") + 16
+    if isinstance(kind, ArrayType):
+        each = F.transform(value, lambda x: row_bytes(x, kind.elementType))
+        return F.coalesce(F.aggregate(each, F.lit(0).cast("bigint"), lambda total, x: total + x), F.lit(0)) + 16
+    if isinstance(kind, MapType):
+        return row_bytes(F.map_keys(value), ArrayType(kind.keyType)) + row_bytes(F.map_values(value), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        return sum((row_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("bigint"))
+    return F.lit(8).cast("bigint")
 
 
 def write_counted(rows: DataFrame, path: str) -> tuple[DataFrame, Size]:
-    """Store rows; the stored table and its size, measured while writing."""
-    written = Observation()
-    width = F.octet_length(F.to_json(F.struct(*rows.columns))) if rows.columns else F.lit(0)
+    """Store rows; the stored table and its size, measured while writing from lengths alone."""
+    written, spark = Observation(), rows.sparkSession
+    width = sum((row_bytes(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema.fields), F.lit(16).cast("bigint"))
     rows.observe(written, F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).write.parquet(path)
     found = written.get
-    return rows.sparkSession.read.schema(rows.schema).parquet(path), Size(found["n"], found["bytes"] or 0)
+    return spark.read.schema(rows.schema).parquet(path), Size(found["n"], found["bytes"] or 0)
 
 
 def fits_broadcast(measured: int) -> bool:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievenet.operators.scan import ORDER_COLUMNS
+
 KINDS = ("plain", "json", "csv", "parquet")
 
 # A reader keeps quotes, blanks and empty values exactly as they were found.
@@ -30,6 +34,13 @@ def resolve_kind(output: str) -> str:
     return ending if ending in ("json", "csv") else "plain"
 
 
+def output_kind(output: Column) -> Column:
+    """:func:`resolve_kind` of a column of outputs."""
+    name = F.trim(output)
+    ending = F.lower(F.regexp_extract(name, r"\.([^./]*)\z", 1))
+    return F.when(name.isin(*KINDS), name).when(ending.isin("json", "csv"), ending).otherwise("plain")
+
+
 def _strings(findings: DataFrame) -> list[Column]:
     return [F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name) for name in findings.columns]
 
@@ -64,6 +75,19 @@ def write_findings(findings: DataFrame, path: str, kind: str | None = None, mode
     frame.write.format(source).options(**options).mode(mode).save(path)
 
 
+def write_report(findings: DataFrame, path: str, kind: str | None = None, lead: Sequence[str] = ("resource_url",), fields: Sequence[str] | None = None, mode: str = "errorifexists") -> None:
+    """Findings in report order: the numbered part files, one after the other, are sorted.
+
+    Rows go by ``lead`` (``queue_ord`` after a crawl), line, value, and the place of pattern and match. Ranges are cut
+    on all of these, so that one resource with very many findings is spread over parts as well.
+    ``findings`` needs those columns; ``fields`` are written, all others if not given.
+    """
+    order = [*lead, *ORDER_COLUMNS]
+    hidden = ("pattern_ord", "match_ord", *(c for c in lead if c not in ("resource_url",)))
+    names = list(fields) if fields is not None else [c for c in findings.columns if c not in hidden]
+    write_findings(findings.orderBy(*order).select(*names), path, kind, mode)
+
+
 def stream_findings(findings: DataFrame, path: str, checkpoint: str, kind: str | None = None, **trigger):
     """Append findings as their captures arrive; returns the running query."""
     frame, source, options = _writer_input(findings, kind or resolve_kind(path))

@@ -1,6 +1,6 @@
 import pytest
 
-from fixture_site import HOST, OTHER, captures
+from fixture_site import HOST, OTHER, QUEUE, captures
 from pyspark.sql import functions as F
 from sievenet import assemble, crawl, scan, scan_requests, scan_url, url_requests
 from sievenet.operators import crawl as crawl_module
@@ -17,44 +17,41 @@ def paths(queue):
     return [r["url"].removeprefix(HOST) for r in queue.orderBy("queue_ord").collect()]
 
 
-EXPECTED = ["/", "/js/beds.js", "/js/seeds.js", "/plots/layout.json", "/api/beds", "/js/beds.js.map", "/plots/stock.json", "/graphql"]
-
-
 def test_queue_order_and_lineage(spark):
     got = crawl(captures(spark), frontier(spark, HOST), discover=True)
-    assert paths(got.queue) == EXPECTED
+    assert paths(got.queue) == QUEUE
     rows = {r["url"].removeprefix(HOST): r for r in got.queue.collect()}
     assert rows["/"]["discovered_from"] == ""
-    assert rows["/api/beds"]["discovered_from"] == HOST + "/js/beds.js"
-    assert rows["/graphql"]["discovered_from"] == HOST + "/js/seeds.js"
+    assert rows["/quays/api-list.txt"]["discovered_from"] == HOST + "/feeds/today.xml"
+    assert rows["/graphql/boats"]["discovered_from"] == HOST + "/feeds/lines/north.json"
     assert {r["target_url"] for r in rows.values()} == {HOST}
-    assert sorted(r["queue_ord"] for r in rows.values()) == list(range(1, 9))
-    assert sorted(paths(got.unreachable)) == ["/api/beds", "/graphql"]
-    assert got.resources.count() == 6
+    assert sorted(r["queue_ord"] for r in rows.values()) == list(range(1, 11))
+    assert sorted(paths(got.unreachable)) == ["/graphql/boats", "/quays/lists/quays.map", "/services/api/tides?station=4"]
+    assert got.resources.count() == 7
 
 
 @pytest.mark.parametrize("cap", [1, 2, 3, 5])
 def test_cap_keeps_queue_prefix(spark, cap):
     got = crawl(captures(spark), frontier(spark, HOST), discover=True, max_crawl=cap)
-    assert paths(got.queue) == EXPECTED[:cap]
+    assert paths(got.queue) == QUEUE[:cap]
 
 
 def test_large_waves_are_numbered_in_ranges(spark, monkeypatch):
     monkeypatch.setattr(crawl_module, "ONE_TASK_ROWS", 1)
     got = crawl(captures(spark), frontier(spark, HOST), discover=True)
-    assert paths(got.queue) == EXPECTED
+    assert paths(got.queue) == QUEUE
 
 
 def test_large_sides_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(crawl_module, "fits_broadcast", lambda measured: False)
     got = crawl(captures(spark), frontier(spark, HOST), discover=True)
-    assert paths(got.queue) == EXPECTED
+    assert paths(got.queue) == QUEUE
 
 
 def test_bucketed_edges(spark, monkeypatch):
     monkeypatch.setattr(crawl_module, "BUCKET_EDGES", 2)
     got = crawl(captures(spark), frontier(spark, HOST), discover=True)
-    assert paths(got.queue) == EXPECTED
+    assert paths(got.queue) == QUEUE
 
 
 @pytest.mark.parametrize("cap", [None, 1, 7])
@@ -67,7 +64,7 @@ def test_nothing_to_follow(spark, cap):
 
 
 def test_cap_is_reported(spark):
-    assert [crawl(captures(spark), frontier(spark, HOST), discover=True, max_crawl=n).capped for n in (3, 7, 8, 9)] == [True, True, False, False]
+    assert [crawl(captures(spark), frontier(spark, HOST), discover=True, max_crawl=n).capped for n in (3, 9, 10, 11)] == [True, True, False, False]
 
 
 def test_latest_of_repeated_captures(spark):
@@ -98,8 +95,9 @@ def test_orders_may_be_any_bigint(spark):
 def test_off_domain(spark):
     got = crawl(captures(spark), frontier(spark, HOST), discover=True, allow_off_domain=True)
     listed = paths(got.queue)
-    assert listed[:5] == ["/", "/js/beds.js", "/js/seeds.js", OTHER + "/helper.js", "/plots/layout.json"]
-    assert {OTHER + "/remote-api", "http://unreachable.test:9/api"} <= set(paths(got.unreachable))
+    assert listed[4:7] == ["/feeds/lines/north.json", OTHER + "/api/deep.json", "/quays/api-list.txt"]
+    assert [u for u in listed if not u.startswith(OTHER)] == QUEUE
+    assert OTHER + "/api/deeper.json" in paths(got.unreachable)
 
 
 def test_discovery_needs_flag_or_wildcard(spark):
@@ -151,7 +149,7 @@ def test_scope_over_requests_and_inherited_headers(spark):
 def test_duplicate_seeds_count_towards_the_cap(spark):
     seeds = frontier(spark, HOST + "/", HOST + "/", scope=HOST)
     got = crawl(captures(spark), seeds, discover=True, max_crawl=3)
-    assert paths(got.queue) == ["/", "/", "/js/beds.js"]
+    assert paths(got.queue) == ["/", "/", "/feeds/today.xml"]
     assert got.resources.count() == 2
 
 
@@ -165,7 +163,7 @@ def test_fragments_are_kept_but_not_fetched(spark):
 def test_findings_carry_lineage(spark):
     got = crawl(captures(spark), frontier(spark, HOST), discover=True)
     fields = ["matched_value", "target_url", "resource_url", "discovered_from", "status", "content_type", "resource_kind", "line"]
-    rows = scan(got.resources, assemble(custom=["help@[a-z.]+"]), fields=fields).collect()
+    rows = scan(got.resources, assemble(custom=["mate@[a-z.]+"]), fields=fields).collect()
     assert [tuple(r) for r in rows] == [
-        ("help@garden.test", HOST, HOST + "/plots/stock.json", HOST + "/js/seeds.js", 200, "application/json", "json", 1)
+        ("mate@ferry.test", HOST, HOST + "/feeds/archive/2019.json?page=1", HOST + "/", 200, "application/json", "json", 1)
     ]

@@ -6,9 +6,10 @@ from fixture_site import captures
 from pyspark.sql import functions as F
 
 from sievenet import Pattern, assemble, combine_requests, dedup_requests, find_by_names, latest_captures, load_patterns, normalize_captures, packaged_patterns
-from sievenet import read_corpus, read_requests, read_saved_scans, scan, scan_saved, stream_captures, stream_findings, url_requests, write_corpus, write_findings
+from sievenet import read_corpus, read_requests, read_saved_scans, scan, scan_saved, stream_captures, stream_findings, url_requests, write_corpus, write_findings, write_report
 from sievenet.session import fits_broadcast, new_dir
 from sievenet.sinks.corpus import manifest, manifest_lines, parse_save_dir, rows_to_save
+from sievenet.session import write_counted
 from sievenet.sinks.findings import CSV_OPTIONS, json_lines, resolve_kind
 
 RAW = (
@@ -215,3 +216,45 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_broadcast_size_check():
     assert fits_broadcast(1 << 20) and not fits_broadcast(1 << 30)
+
+
+def test_restart_between_commit_and_checkpoint(spark, tmp_path):
+    """A batch whose findings were committed, but not its progress, is not written twice."""
+    pages = spark.createDataFrame([(f"https://s.test/{i}", "text/plain", bytearray(b"needle needles")) for i in range(4)], "url string, content_type string, body binary")
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    pages.repartition(2).write.parquet(source)
+    for kind in ("csv", "json", "plain"):
+
+        def run(kind=kind):
+            found = scan(stream_captures(spark, source, pages.schema, maxFilesPerTrigger=1), assemble(custom=["needles?"]), fields=["resource_url", "matched_value"])
+            stream_findings(found, f"{out}/{kind}", f"{state}/{kind}", kind).awaitTermination()
+            reader = spark.read.options(**CSV_OPTIONS) if kind == "csv" else spark.read
+            return sorted(map(str, (reader.csv(f"{out}/{kind}") if kind == "csv" else reader.text(f"{out}/{kind}")).collect()))
+
+        first = run()
+        commits = tmp_path / "state" / kind / "commits"
+        last = max((f for f in commits.iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+        last.unlink()
+        (commits / f".{last.name}.crc").unlink(missing_ok=True)
+        assert run() == first and len(first) == 8
+
+
+def test_report_parts_are_in_order(spark, tmp_path, request):
+    """One resource with most of the findings, ties, and a lead other than the resource."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts, however small
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rows = [("u1", 1 + i % 7, f"v{i % 90:02}", 0, i, 2) for i in range(3000)] + [("u0", 1, "w", 1, 0, 9), ("u0", 1, "w", 0, 0, 9)]
+    found = spark.createDataFrame(rows, "resource_url string, line int, matched_value string, pattern_ord int, match_ord int, queue_ord int").repartition(6)
+    for lead in ("resource_url", "queue_ord"):
+        write_report(found, str(tmp_path / lead), "plain", [lead], ["resource_url", "line", "matched_value"])
+        parts = sorted((tmp_path / lead).glob("part-*"))
+        written = [line for part in parts for line in part.read_text().splitlines()]
+        at = 0 if lead == "resource_url" else 5
+        assert len(parts) > 1 and written == ["\t".join(map(str, r[:3])) for r in sorted(rows, key=lambda r: (r[at], *r[1:5]))]
+
+
+def test_measured_sizes(spark, tmp_path):
+    """Sizes come from lengths: a body of a megabyte counts as one."""
+    rows = spark.createDataFrame([("u", {"A": ["b", "c"]}, bytearray(1 << 20), None), (None, None, None, [1])], "url string, headers map<string,array<string>>, body binary, x array<int>")
+    _, size = write_counted(rows, str(tmp_path / "t"))
+    assert size.rows == 2 and 0 <= size.bytes - (1 << 20) < 400
