@@ -19,7 +19,7 @@ class Rule(NamedTuple):
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 DAMPING = 0.85
 CLOSE = 1e-6  # largest change of a score in the last round
-LIMIT = 0.5  # bad less good share from which a host is blocked; a host whose pages are all blocked by rules has 1
+LIMIT = 0.5  # distrust less trust from which a host is blocked; a host whose pages are all blocked by rules has 1
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -49,37 +49,30 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread_scores(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, close: float = CLOSE) -> DataFrame:
-    """host, trust, distrust, good and bad: spread from seeds (host, trust, distrust) over links (a, b, n).
+    """host, trust and distrust, 0 to 1: spread from seeds (host, trust, distrust) over links (a, b, n).
 
-    Trust and distrust are personalised PageRank.  Trust follows links, in proportion to a host's links;
-    distrust follows them backwards.  They are not scaled: a host that nothing leads to keeps its seed, and what a
-    seed gives is split over its neighbours, so they shrink as the graph grows.
-
-    Good and bad, 0 to 1, don't: they are the mean of a host's neighbours (those that link to it, or that it links
-    to) times damping, added to its seed.  The mean counts links twice, by their number and by what
-    they carry of trust or distrust, and the smaller one holds: a popular neighbour says little, but a few rare
-    ones don't outvote the others.
+    Both are personalised PageRank.  Distrust of a host is the chance that a walk from it, which follows a
+    link with chance damping and stops at blocked seeds, ends at one; sent from the seeds against the
+    links, it reaches all hosts at once.  Trust is the same for walks against the links that stop at
+    trusted seeds.  A walk takes links in proportion to their number, so a score depends on the hosts around one, not
+    on how many others link to the same seed.  A seed stops a walk with the chance of its share.
 
     Rounds go on until no score changes by more than close, which the damping guarantees.  Both tables hold
-    one row per host or pair of hosts.
+    one row per host or pair of hosts.  A host without links keeps its seed; an empty table of links changes none.
     """
     out = links.groupBy("a").agg(F.sum("n").alias("n_out"))
     back = links.groupBy("b").agg(F.sum("n").alias("n_in"))
     flow = saved(links.join(out, "a").join(back, "b").select("a", "b", (F.col("n") / F.col("n_out")).alias("out"), (F.col("n") / F.col("n_in")).alias("into")), "flow")
-    forth = flow.join(flow.groupBy("b").agg(F.sum("out").alias("all")), "b").select(F.col("a").alias("host"), F.col("b").alias("to"), F.lit(True).alias("forth"), F.col("out").alias("split"), F.col("into").alias("share"), (F.col("out") / F.col("all")).alias("carried"))
-    other = flow.join(flow.groupBy("a").agg(F.sum("into").alias("all")), "a").select(F.col("b").alias("host"), F.col("a").alias("to"), F.lit(False).alias("forth"), F.col("into").alias("split"), F.col("out").alias("share"), (F.col("into") / F.col("all")).alias("carried"))
-    moves = saved(forth.unionByName(other), "moves")
-    hosts = seeds.unionByName(moves.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust")).distinct()).groupBy("host").agg(F.sum("trust").alias("t0"), F.sum("distrust").alias("d0"))
-    hosts = saved(hosts, "hosts")
-    scores = {"trust": ("t0", True), "distrust": ("d0", False), "good": ("t0", True), "bad": ("d0", False)}
-    state = hosts.select("host", *[F.col(seed).alias(name) for name, (seed, _) in scores.items()])
-    along = lambda forth, weight, score: F.sum(F.when(F.col("forth") == forth, F.col(weight) * F.col(score)).otherwise(0.0))
-    given = [along(True, "split", "trust").alias("trust_in"), along(False, "split", "distrust").alias("distrust_in")]
-    given += [F.least(along(forth, "share", name), along(forth, "carried", name)).alias(f"{name}_in") for name, forth in (("good", True), ("bad", False))]
-    new = {name: F.col(seed) + damping * F.coalesce(f"{name}_in", F.lit(0.0)) for name, (seed, _) in scores.items()}
-    new |= {name: F.least(F.lit(1.0), new[name]) for name in ("good", "bad")}
+    none = F.lit(0.0)
+    moves = flow.select(F.col("a").alias("host"), F.col("b").alias("to"), F.col("into").alias("trust_share"), none.alias("distrust_share"))
+    moves = saved(moves.unionByName(flow.select(F.col("b").alias("host"), F.col("a").alias("to"), none.alias("trust_share"), F.col("out").alias("distrust_share"))), "moves")
+    scores = ("trust", "distrust")
+    hosts = seeds.unionByName(moves.select("host", none.alias("trust"), none.alias("distrust")).distinct())
+    hosts = saved(hosts.groupBy("host").agg(*[F.sum(name).alias(f"{name}_seed") for name in scores]), "hosts")
+    state = hosts.select("host", *[F.col(f"{name}_seed").alias(name) for name in scores])
+    new = {name: F.col(f"{name}_seed") + (1 - F.col(f"{name}_seed")) * damping * F.coalesce(f"{name}_in", none) for name in scores}
     while True:
-        sums = moves.join(state, "host").groupBy("to").agg(*given)
+        sums = moves.join(state, "host").groupBy("to").agg(*[F.sum(F.col(f"{name}_share") * F.col(name)).alias(f"{name}_in") for name in scores])
         rows = hosts.join(sums, F.col("host") == F.col("to"), "left").select("host", *[value.alias(name) for name, value in new.items()])
         old = state.select("host", *[F.col(name).alias(f"{name}_old") for name in scores])
         change = F.greatest(*[F.abs(F.col(name) - F.col(f"{name}_old")) for name in scores])
@@ -93,8 +86,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, limit: float = LIMI
     """page_id, host, path, rule, verdict, trust and distrust of each row of pages (page_id, url, html).
 
     The longest rule that fits decides.  Seeds are the shares of a host's pages that rules allow or block; pages
-    that no rule fits are blocked where their host's bad score exceeds its good one by limit or more, whatever the
-    number of hosts that link to the same ones.
+    that no rule fits are blocked where their host's distrust exceeds its trust by limit or more, whatever the
+    number of hosts that link to the same ones.  Repeated rows count as pages of their own, and long html is read whole.
     Null urls and those without "://" have an empty host and path, fit no rule, and are allowed.  A null html
     has no links.
     """
@@ -104,5 +97,5 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, limit: float = LIMI
     seeds = saved(rows.where("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "seeds")
     scores = spread_scores(seeds, saved(host_links(rows), "links"))
     judged = rows.drop("html").join(F.broadcast(scores) if small_enough(scores, 128) else scores, "host", "left")
-    verdict = F.when(F.col("bad") - F.col("good") >= limit, "block").otherwise("allow")
+    verdict = F.when(F.col("distrust") - F.col("trust") >= limit, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", verdict).alias("verdict"), "trust", "distrust")
