@@ -111,41 +111,70 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
 
 
 class _Reader:
-    """Records of a gzip archive, decompressed piece by piece."""
+    """Records of an archive, decompressed piece by piece if it is gzip: head fields, block and fault.
+
+    A fault ends the archive: what was cut off or can't be read comes as one last record that names it.
+    """
 
     def __init__(self, content: bytes):
-        self.content, self.at, self.held, self.engine = memoryview(content), 0, bytearray(), zlib.decompressobj(31)
+        self.content, self.at, self.held = memoryview(content), 0, bytearray()
+        self.engine = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
 
     def _fill(self) -> bool:
-        while self.at < len(self.content) or self.engine.unconsumed_tail:
-            piece = self.engine.unconsumed_tail or self.content[self.at : self.at + (1 << 16)]
-            if not self.engine.unconsumed_tail:
-                self.at += len(piece)
-            self.held += self.engine.decompress(piece, 1 << 20)
-            if self.engine.eof:
-                rest = self.engine.unused_data
-                self.at -= len(rest)
-                self.engine = zlib.decompressobj(31)  # archives may hold many members
+        tail = self.engine.unconsumed_tail if self.engine else b""
+        if self.at >= len(self.content) and not tail:
+            return False
+        piece = tail or self.content[self.at : self.at + (1 << 16)]
+        if not tail:
+            self.at += len(piece)
+        if not self.engine:
+            self.held += piece
             return True
-        return False
-
-    def __iter__(self) -> Iterator[tuple[dict[str, str], bytes]]:
-        while True:
-            while (end := self.held.find(b"\r\n\r\n")) < 0:
-                if not self._fill():
-                    if self.held.strip():
-                        raise ValueError("archive cut off in a head")
+        self.held += self.engine.decompress(piece, 1 << 20)
+        if self.engine.eof:
+            self.at -= len(self.engine.unused_data)
+            self.engine = zlib.decompressobj(31)  # archives may hold many members
+        return True
+
+    def _until(self, size: int) -> bool:
+        while len(self.held) < size:
+            if not self._fill():
+                return False
+        return True
+
+    def __iter__(self) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+        fields: dict[str, str] = {}
+        try:
+            while True:
+                fields, looked = {}, 0
+                while (end := self.held.find(b"\r\n\r\n", looked)) < 0:
+                    looked = max(0, len(self.held) - 3)
+                    if not self._fill():
+                        if self.held.strip():
+                            yield fields, b"", "archive cut off in a head"
+                        return
+                first, fields = _fields(bytes(self.held[:end]))
+                if not first.startswith("WARC/"):
+                    yield {}, b"", f"not a WARC record: {first[:40]!r}"
+                    return
+                if not re.fullmatch("[0-9]{1,18}", length := fields.get("content-length", "")):
+                    yield fields, b"", f"no length: {length[:40]!r}"
+                    return
+                size = int(length)
+                if not self._until(end + 4 + size):
+                    yield fields, b"", "archive cut off in a block"
                     return
-            lines = self.held[:end].decode().split("\r\n")
-            if not lines[0].startswith("WARC/"):
-                raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-            size = int(fields["content-length"])
-            while len(self.held) < end + 8 + size:
-                if not self._fill():
-                    raise ValueError("archive cut off in a block")
-            yield fields, bytes(self.held[end + 4 : end + 4 + size])
-            del self.held[: end + 8 + size]
+                yield fields, bytes(self.held[end + 4 : end + 4 + size]), None
+                self._until(end + 8 + size)  # the last record may lack its line ends
+                del self.held[: end + 8 + size]
+        except zlib.error as fault:
+            yield fields, b"", f"not gzip: {fault}"
+
+
+def _fields(head: bytes) -> tuple[str, dict[str, str]]:
+    """First line of a head and its fields by lower-case name; folded lines are joined, bytes that aren't UTF-8 replaced."""
+    first, *lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+    return first, {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
 
 
 def _payload(block: bytes) -> bytes:
@@ -153,7 +182,7 @@ def _payload(block: bytes) -> bytes:
     return dechunked(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head) else body
 
 
-_PARSED = "name string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, problem string, segment int, total bigint, block binary"
+_PARSED = "name string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_name string, problem string, segment int, total bigint, block binary"
 
 
 def _judged(block: bytes, digest: str | None) -> tuple[int | None, str | None, str | None]:
@@ -166,35 +195,53 @@ def _judged(block: bytes, digest: str | None) -> tuple[int | None, str | None, s
     return len(payload), found, None if digest in (None, f"sha1:{found}") else "digest differs"
 
 
+def _row(fields: dict[str, str], block: bytes, fault: str | None) -> tuple | None:
+    """The row of a record, in the order of _PARSED; None if its type is another."""
+    kind, name, url = fields.get("warc-type"), fields.get("warc-record-id", "").strip("<>"), fields.get("warc-target-uri")
+    segment, total, digest = fields.get("warc-segment-number"), fields.get("warc-segment-total-length"), fields.get("warc-payload-digest")
+    refers = fields.get("warc-refers-to", "").strip("<>") or None
+    if fault:
+        return name or None, url, kind, None, None, refers, fault, None, None, None
+    if kind == "revisit":
+        length = re.search(rb"(?im)^content-length:\s*(\d{1,18})\s*$", block)
+        return name, url, kind, int(length[1]) if length else None, digest and digest.removeprefix("sha1:"), refers, None if refers else "no record referred to", None, None, None
+    if kind == "response" and segment is None:
+        size, found, problem = _judged(block, digest)
+        return name, url, kind, size, found, None, problem, None, None, None
+    if kind in ("response", "continuation"):
+        origin = fields.get("warc-segment-origin-id", name).strip("<>")
+        whole = re.compile("[0-9]{1,9}")
+        if not whole.fullmatch(segment or "") or (total is not None and not re.fullmatch("[0-9]{1,18}", total)):
+            return name, url, kind, None, None, None, "segment without a number", None, None, None
+        return origin, url, "response", None, digest, None, None, int(segment), None if total is None else int(total), block
+    return None
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and problem of each page in the archives.
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, problem, record_id and refers_name of each page in
+    the archives (*.gz and *.warc) below path.
 
     Segments are grouped by their origin, put in order and checked against the total length; then the
     chunked framing is taken off and the digest compared.  A record that fails keeps its row, with the
-    fault in problem.  Other record types are skipped.
+    fault in problem, and so does an archive that is cut off or isn't one: the records before the fault stay.
+    Other record types are skipped.  record_id and refers_name are the names in the archive; page_id and refers_to are
+    the pages they stand for, null if another program gave the names.  A revisit of a record that isn't named
+    has that as its problem.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
         names = [f.split()[0] for f in _PARSED.split(", ")]
         flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 10, kinds, strict=True)], names=names)
         for batch in batches:
             for content in batch.column(0):
                 rows, weight = [], 0
-                for fields, block in _Reader(content.as_py()):
-                    kind, name = fields.get("warc-type"), fields.get("warc-record-id", "").strip("<>")
-                    segment, digest = fields.get("warc-segment-number"), fields.get("warc-payload-digest")
-                    if kind == "revisit":
-                        length = re.search(rb"(?im)^content-length:\s*(\d+)", block)
-                        refers = fields.get("warc-refers-to", "").strip("<>").split(":")[-1]
-                        rows.append((name, fields.get("warc-target-uri"), kind, int(length[1]) if length else None, (digest or "").removeprefix("sha1:"), int(refers), None, None, None, None))
-                    elif kind == "response" and segment is None:
-                        rows.append((name, fields.get("warc-target-uri"), kind, *(judged := _judged(block, digest))[:2], None, judged[2], None, None, None))
-                    elif kind in ("response", "continuation"):
-                        total = fields.get("warc-segment-total-length")
-                        rows.append((fields.get("warc-segment-origin-id", name).strip("<>"), fields.get("warc-target-uri"), "response", None, digest, None, None, int(segment or 0), None if total is None else int(total), block))
-                        weight += len(block)
+                for record in _Reader(content.as_py()):
+                    row = _row(*record)
+                    if row:
+                        rows.append(row)
+                        weight += len(row[-1] or b"")
                     if len(rows) >= 5000 or weight >= BATCH:
                         yield flush(rows)
                         rows, weight = [], 0
@@ -217,9 +264,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("url"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["name", "url", "payload_bytes", "payload_digest", "problem"])
 
     whole = parts.mapInArrow(assemble, "name string, url string, payload_bytes bigint, payload_digest string, problem string")
-    whole = whole.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("bigint")})
+    whole = whole.withColumns({"record_type": F.lit("response"), "refers_name": F.lit(None).cast("string")})
     found = parsed.where("segment is null").select(*[c for c in parsed.columns if c not in ("segment", "total", "block")]).unionByName(whole)
-    return found.select(F.split("name", ":")[2].try_cast("bigint").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+    page = lambda name: F.regexp_extract(name, r"^urn:page:(\d+|-\d+)(?::|$)", 1).try_cast("bigint")
+    return found.select(page("name").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", page("refers_name").alias("refers_to"), "problem", F.col("name").alias("record_id"), "refers_name")
 
 
 def report(pages: DataFrame) -> DataFrame:
