@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from sievenet.llm.components import components
 from sievenet.llm.tables import saved
@@ -152,14 +153,20 @@ class Graph:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """In double precision, times a power of two that brings the largest number of each row near one: exact, and squares stay finite."""
     exact = vectors.astype(np.float64)
+    return np.ldexp(exact, -np.frexp(np.abs(exact).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    exact = _scaled(vectors)
     return exact / np.linalg.norm(exact, axis=1, keepdims=True)
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    a, b = _scaled(a), _scaled(b)
     return np.einsum("nd,nd->n", a, b) / (np.sqrt(np.einsum("nd,nd->n", a, a)) * np.sqrt(np.einsum("nd,nd->n", b, b)))
 
 
@@ -218,10 +225,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     n_links counts other rows; component_id is the smallest vec_id reached; kept marks that row.
 
     Rows with a null label, and vectors that are null, empty, zero or hold null or non-finite numbers, link
-    with nothing, nor do vectors of different lengths.  A row without a vec_id links with nothing, has a
+    with nothing, nor do vectors of different lengths.  Numbers are compared as given, floats or doubles.  A row without a vec_id links with nothing, has a
     null component and is kept.
     """
-    e = F.col("embedding").cast("array<float>")
+    kind = "float" if vectors.schema["embedding"].dataType.elementType == FloatType() else "double"
+    e = F.col("embedding").cast(f"array<{kind}>")
     fit = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False)))
     rows = vectors.select("vec_id", "label", e.alias("embedding"), fit.alias("fit"))
     key = ["label", "length", "mark", "embedding"]
@@ -232,7 +240,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
 
     def build(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("id", kind="stable")
-        held = np.stack(own["embedding"].to_list()).astype(np.float32)
+        held = np.stack(own["embedding"].to_list()).astype(np.float32 if kind == "float" else np.float64)
         graph = Graph(_unit(held).astype(np.float32))
         packed = pickle.dumps((own["id"].to_numpy(), own["copies"].to_numpy(), held, graph.layers, graph.entry))
         return pd.DataFrame({"label": own["label"].iloc[:1], "length": own["length"].iloc[:1], "shards": own["shards"].iloc[:1], "shard": own["shard"].iloc[:1], "graph": [packed]})
