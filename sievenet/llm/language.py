@@ -25,10 +25,13 @@ from sievenet.llm.words import U64, mix
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 600  # training texts of a language, on average at most
 CHARS_PER_LANGUAGE = 1_500_000  # and their characters
-LEAST = 50  # distinct texts of a language that are taken in any case
+LEAST = 50  # distinct texts of a language that are taken in any case, while there are few languages
+TOTAL_TEXTS = 24_000  # of all languages: what each may have falls beyond 40 languages (480 for LEAST)
+TOTAL_CHARS = 24_000_000  # the same for characters, beyond 16 languages
 LANDMARKS = 400
 RIDGE = 0.1
 UNKNOWN = "und"
+PRODUCT = 1 << 20  # weights that a product reads at once
 PIECE = 1 << 18  # characters whose n-grams are listed at once
 
 
@@ -99,12 +102,27 @@ class Model:
         return at[self.vocabulary[at] == own]
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """One row per text, one column per language."""
+        """One row per text, one column per language: the product of a sparse matrix, a row of scaled presences per text, and the weights."""
         out = np.tile(self.bias, (len(texts), 1))
+        rows, scales, indices, held = [], [], [], 0
+
+        def multiply() -> None:
+            starts = np.cumsum([0, *map(len, indices)])[:-1]
+            out[rows] += np.add.reduceat(self.weights[np.concatenate(indices)], starts, axis=0) * np.array(scales)[:, None]
+            rows.clear(), scales.clear(), indices.clear()
+
         for i, text in enumerate(texts):
             own = presence(text)
-            if len(own):
-                out[i] += self.weights[self._known(own)].sum(0) / np.sqrt(len(own))
+            known = self._known(own)
+            if not len(known):
+                continue
+            if held and (held + len(known)) * len(self.languages) > PRODUCT:
+                multiply()
+                held = 0
+            rows.append(i), scales.append(1 / np.sqrt(len(own))), indices.append(known)
+            held += len(known)
+        if rows:
+            multiply()
         return out
 
 
@@ -112,18 +130,23 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = CHARS
     """lang and text of a sample of distinct labelled texts: by a hash, at a rate per language that meets both limits.
 
     The LEAST texts of a language that come first by hash are taken anyway, cut to an equal part of chars each.
+    With many languages both limits and LEAST shrink (to one text at least), so that the sample stays within about twice
+    TOTAL_TEXTS and TOTAL_CHARS.  Ties of a hash are broken by a second one.
     """
     draw, ident = F.pmod(F.xxhash64("text"), F.lit(1 << 30)), F.xxhash64("text")
     rows = docs.where("lang is not null and text is not null").where(_letter()).select("lang", "text", draw.alias("draw"), ident.alias("ident"))
     distinct = saved(rows.groupBy("lang", "draw", "ident").agg(F.max(F.length("text")).alias("size")), "distinct")
-    sizes = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    sizes = saved(distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")), "sizes")
+    languages = max(1, sizes.count())
+    per_language, chars = max(1, min(per_language, TOTAL_TEXTS // languages)), max(1, min(chars, TOTAL_CHARS // languages))
+    least = max(1, min(LEAST, TOTAL_TEXTS // languages))
     rate = F.least(F.lit(1.0), per_language / F.col("n"), chars / F.greatest("chars", F.lit(1)))
     sizes = saved(sizes.select("lang", rate.alias("rate")), "languages")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "ident"))
-    first = distinct.withColumn("place", place).where(F.col("place") <= LEAST).select("lang", "draw", "ident")
+    first = distinct.withColumn("place", place).where(F.col("place") <= least).select("lang", "draw", "ident")
     drawn = sized_join(distinct, sizes, "lang", "inner", 128).where(F.col("draw") < F.col("rate") * (1 << 30)).select("lang", "draw", "ident", F.lit(True).alias("whole"))
     taken = saved(drawn.unionByName(first.withColumn("whole", F.lit(False))).groupBy("lang", "draw", "ident").agg(F.max("whole").alias("whole")), "taken")
-    text = F.when(F.col("whole"), F.col("text")).otherwise(F.left("text", F.lit(max(1, chars // LEAST))))
+    text = F.when(F.col("whole"), F.col("text")).otherwise(F.left("text", F.lit(max(1, chars // least))))
     keys = ["lang", "draw", "ident"]
     return rows.join(F.broadcast(taken) if small_enough(taken, 128) else taken, keys).select("lang", text.alias("text")).distinct()
 

@@ -40,6 +40,42 @@ def test_warc_faults(spark, tmp_path):
         assert [(r.page_id, r.payload_bytes, r.problem) for r in rows] == {"short": [(7, None, "segments missing")], "swapped": [(7, 150_000, None)], "broken": [(8, 3, "digest differs")]}[name]
 
 
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    def record(fields, block=b""):
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("latin-1") + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    whole = record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://a.test/\r\n b")], http + b"body")
+    parts = [
+        record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:0>")], b"software: x"), whole,
+        record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:uuid:2>"), ("WARC-Refers-To", "<urn:uuid:1>")], http),
+        record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:uuid:3>"), ("WARC-Target-URI", "http://\xe9.test/")], http),
+        record([("WARC-Type", "continuation"), ("WARC-Record-ID", "<urn:uuid:4>"), ("WARC-Segment-Number", "two")], b"x"),
+    ]
+    files = {
+        "all.warc.gz": b"".join(map(gzip.compress, parts)), "plain.warc": b"".join(parts[:2]), "cut.gz": gzip.compress(b"".join(parts[:3]))[:-30], "block.gz": gzip.compress(whole + whole[:-20]),
+        "head.warc": whole + b"WARC/1.0\r\nWARC-Ty", "length.warc": whole + b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n", "other.gz": gzip.compress(b"<html>\r\n\r\n"), "none.gz": b"\x1f\x8bnonsense", "empty.warc": b"", "end.warc": whole[:-4],
+    }
+    fine = ("urn:uuid:1", "http://a.test/ b", 4, None, None)
+    expected = {
+        "all.warc.gz": [fine, ("urn:uuid:2", None, None, "urn:uuid:1", None), ("urn:uuid:3", "http://\ufffd.test/", None, None, "no record referred to"), ("urn:uuid:4", None, None, None, "segment without a number")],
+        "plain.warc": [fine], "end.warc": [fine], "empty.warc": [], "block.gz": [fine, ("urn:uuid:1", "http://a.test/ b", None, None, "archive cut off in a block")],
+        "head.warc": [fine, (None, None, None, None, "archive cut off in a head")], "length.warc": [fine, (None, None, None, None, "no length: 'many'")], "other.gz": [(None, None, None, None, "not a WARC record: '<html>'")],
+    }
+    for name, content in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_bytes(content)
+        got = warc.read_archives(spark, str(tmp_path / name))
+        rows = [tuple(r) for r in got.select("record_id", "url", "payload_bytes", "refers_name", "problem").collect()]
+        if name in expected:
+            assert Counter(rows) == Counter(expected[name])
+        else:
+            assert rows[-1][-1].startswith("not gzip" if name == "none.gz" else "archive cut off")
+        assert got.where("page_id is not null or refers_to is not null").count() == 0
+
+
 def test_chunked():
     for size in (0, 1, 16_383, 16_384, 40_000):
         assert warc.dechunked(warc.chunked(b"q" * size)) == b"q" * size
@@ -81,8 +117,8 @@ def test_link_graph(spark):
             out[a] += n
             into[b] += n
         trust, distrust = (
-            {h: seeds.get(h, (0, 0))[0] + 0.85 * sum(n / out[a] * trust[a] for (a, b), n in edges.items() if b == h) for h in trust},
-            {h: seeds.get(h, (0, 0))[1] + 0.85 * sum(n / into[b] * distrust[b] for (a, b), n in edges.items() if a == h) for h in trust},
+            {h: (s := seeds.get(h, (0, 0))[0]) + (1 - s) * 0.85 * sum(n / into[b] * trust[a] for (a, b), n in edges.items() if b == h) for h in trust},
+            {h: (s := seeds.get(h, (0, 0))[1]) + (1 - s) * 0.85 * sum(n / out[a] * distrust[b] for (a, b), n in edges.items() if a == h) for h in trust},
         )
     for i, url, _ in pages:
         host = url.split("/")[2]
@@ -112,6 +148,12 @@ def test_vectors(spark):
     same(nameless, [(None, 0, None, True), (1, 0, 1, True)])
 
 
+def test_doubles_are_compared_as_given(spark):
+    rows = [(1, [1e39, 0.0], 1), (2, [1e39, 0.0], 1), (3, [2e300, 1e290], 1), (4, [1e-300, 0.0], 1), (5, [0.0, 1.0], 1), (6, [1.0, 1e-9], 2), (7, [float("inf"), 0.0], 1)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    same(got.drop("kept"), [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6), (7, 0, 7)])
+
+
 def test_graph_finds_neighbours():
     rng = np.random.default_rng(9)
     base = rng.normal(size=(1500, 32))
