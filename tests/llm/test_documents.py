@@ -70,11 +70,33 @@ def test_decontamination(docs, benchmark, empty):
     assert decontaminate.report(docs, benchmark.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_decontamination_judges_rows(spark, benchmark):
+    """Rows without an id and rows that share one are judged by their own text, in one pass or many."""
+    rows = [(None, PASSAGE), (None, "clean words"), (1, PASSAGE), (1, "more clean words"), (1, PASSAGE), (2, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same(decontaminate.decontaminate(frame, benchmark), [r for r in rows if r[1] != PASSAGE])
+    many = decontaminate.find_contamination(frame, benchmark, block_bytes=50)
+    same(many.select("doc_id", "n_words", decontaminate.n_hit(), F.size("items")), [r[:4] for r in brute.decontaminate(rows, BENCHMARK)])
+
+
+def test_large_benchmark_index(spark):
+    """An index takes about five times its text, and windows that items repeat are kept once."""
+    import pickle
+
+    items = [(k, " ".join(f"w{RNG.randrange(20_000)}" for _ in range(2_000)).encode()) for k in range(150)] + [(900, b"so it goes " * 20_000)]
+    made = decontaminate.TestGrams(items, 13)
+    assert len(pickle.dumps(made)) < 6 * sum(len(t) for _, t in items)
+    hit, found = made.scan(b"x so it goes so it goes so it goes so it goes so it y".split())
+    assert found == {"900"} and hit.tolist() == [False, *[True] * 14, False]
+    assert len(made.windows[13][0]) == sum(2_000 - 12 for _ in range(150)) + 3
+
+
 def test_decontamination_removes(docs, benchmark):
-    bad = {r[0] for r in brute.decontaminate(DOCS, BENCHMARK) if r[5]}
+    verdicts = brute.decontaminate(DOCS, BENCHMARK)
+    assert any(r[5] for r in verdicts)
     kept = decontaminate.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns
-    same(kept.select("doc_id", "text"), [r for r in DOCS if r[0] not in bad])
+    same(kept.select("doc_id", "text"), [r for r, v in zip(DOCS, verdicts, strict=True) if not v[5]])
     cut = decontaminate.decontaminate(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), benchmark, remove="spans")
     text = cut.where(F.col("text").contains("Item here") | F.col("text").contains(" here")).select("text").first()[0]
     assert text == "the  here"
