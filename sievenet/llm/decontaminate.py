@@ -84,8 +84,10 @@ class TestGrams:
             if not len(where):
                 continue
             found = grams(numbers.astype(np.uint64), size)[where]
-            low, high = np.searchsorted(hashes, found), np.searchsorted(hashes, found, "right")
-            where, low, high = where[high > low], low[high > low], high[high > low]
+            low = np.searchsorted(hashes, found)
+            there = hashes[np.minimum(low, len(hashes) - 1)] == found
+            where, low = where[there], low[there]
+            high = np.searchsorted(hashes, found[there], "right")
             for i in range(0, len(where), SPOTS):
                 spots, place, left = where[i : i + SPOTS], low[i : i + SPOTS].copy(), high[i : i + SPOTS]
                 while len(spots):  # one window of each spot at a time
