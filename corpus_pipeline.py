@@ -11,7 +11,10 @@ from sievenet.llm.tables import saved, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those without text or without a letter go."""
+    """Documents in a known language: those without text or without a letter go.
+
+    Labelled rows teach a model whose language and score don't decide here.  Without labels, texts with a letter stay.
+    """
     return language.keep_known(docs)
 
 
@@ -26,7 +29,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark windows."""
+    """Documents of which less than a twentieth lies in benchmark windows.
+
+    Each row is judged by its own whole text: null and repeated ids need no care, null and empty texts stay,
+    other columns are handed on, and an empty table stays empty.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
