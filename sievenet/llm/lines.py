@@ -12,6 +12,7 @@ from sievenet.llm.tables import BROADCAST_BYTES, saved, sized_join
 SPACING = 4  # lines of a chunk on average: a boundary follows a line where the rolling hash is a multiple of it
 LEAST = 2  # lines of a chunk that may be removed
 
+SAME = ["a", "b", "size"]  # what equal chunks share
 KEY = ["doc_id", "mark"]  # mark: hash of the text, so that rows which share a doc_id stay apart
 
 
@@ -66,20 +67,65 @@ def removable(docs: DataFrame, spacing: int = SPACING, least: int = LEAST) -> Da
     return equal.groupBy(*KEY).agg(F.collect_set(F.struct("start", "size")).alias("gone"))
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def _hashes(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
+
+
+def _linked_chunks(docs: DataFrame, spacing: int) -> DataFrame:
+    """doc_id, mark, start, size, two hashes (a, b) and the lines' hashes (own, more) of each chunk.
+
+    A chunk ends with a line where the rolling hash over its own hash and the one before is a multiple of spacing,
+    and at the end of a text; that line also begins the next chunk.  So each pair of adjacent lines lies in exactly one
+    chunk, and a chunk's bounds depend on its own lines alone.
+    """
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
+    n = F.size("lines")
+    hashed = rows.where(n > 1).select(*KEY, F.transform("lines", lambda x: _hashes(x)[0]).alias("own"), F.transform("lines", lambda x: _hashes(x)[1]).alias("more"), n.alias("n"))
+    bound = lambda i: F.pmod(F.xxhash64(F.get("own", i - 1), F.get("own", i)), F.lit(spacing)) == 0
+    ends = F.filter(F.sequence(F.lit(1), F.col("n") - 1), lambda i: (i == F.col("n") - 1) | bound(i))
+    start = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0))
+    spans = F.transform("ends", lambda end, k: F.struct(start(k).alias("start"), (end - start(k) + 1).alias("size")))
+    each = hashed.withColumn("ends", ends).select(*KEY, "own", "more", F.explode(spans).alias("c"))
+    part = [F.slice(c, F.col("c.start") + 1, F.col("c.size")).alias(c) for c in ("own", "more")]
+    return each.select(*KEY, "c.*", *part).select(*KEY, "start", "size", F.xxhash64("own").alias("a"), F.xxhash64("more").alias("b"), "own", "more")
+
+
+def _repeats(spots: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, mark, start, size, a, b and later of all spots of keys that occur again; firsts: a, b, size, first and n, stored."""
+    again = firsts.where("n > 1").select("a", "b", "size", F.struct("first.doc_id", "first.start", "first.mark").alias("first"))
+    found = sized_join(spots.select(*KEY, "start", *SAME), again, SAME, "inner", 128)
+    return found.select(*KEY, "start", *SAME, (F.struct("doc_id", "start", "mark") != F.col("first")).alias("later"))
+
+
+def _unequal(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Keys (a, b, size) of stored spans whose lines aren't the same bytes everywhere: the least and the largest text of a key differ."""
+    lists = saved(spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", *SAME)).alias("spans")), "lists")
+    rows = _attached(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), lists, "spans", "inner")
+    each = rows.select(F.split("text", "\n", -1).alias("lines"), "spans").select("lines", F.explode("spans").alias("s"))
+    texts = each.select("s.a", "s.b", "s.size", _text("s.start", "s.size").alias("chunk"))
+    return texts.groupBy(*SAME).agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low != high").select(*SAME)
+
+
+def repeated_runs(docs: DataFrame, spacing: int = SPACING) -> DataFrame:
     """Lines to remove: doc_id, mark and gone, an array of (start, size).
 
     A line goes if it lies in a run of two lines or more that begins earlier, by doc_id and line, as well.
-    Each such run is a chain of repeated pairs of lines, so the pairs that aren't the first of their SHA-256
-    cover all of them, wherever they begin.  A line that goes has an equal one before it: one of each stays.
+    Content-defined chunks that came before go whole.  Each distinct chunk's first copy is then cut into its pairs of
+    adjacent lines, and pairs that came before go: a run in other surroundings, whose outer lines lie in chunks of their
+    own, is a chain of such pairs.  Pairs of later copies needn't be looked at, as the first copy has them earlier.
+    Chunks and pairs are found by 128-bit hashes and compared byte by byte; those of a hash with different texts stay.
+    A line that goes has an equal one before it: one of each stays.
     """
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("mark"), F.split("text", "\n", -1).alias("lines"))
-    hashed = lines.where(F.size("lines") > 1).select(*KEY, F.transform("lines", lambda line: F.sha2(line, 256)).alias("own"))
-    both = F.transform(F.sequence(F.lit(0), F.size("own") - 2), lambda i: F.unhex(F.sha2(F.concat(F.get("own", i), F.get("own", i + 1)), 256)))
-    pairs = saved(hashed.select(*KEY, F.posexplode(both).alias("start", "pair")), "pairs")
-    firsts = pairs.groupBy("pair").agg(F.min(F.struct("doc_id", "start", "mark")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = sized_join(pairs, saved(firsts.select("pair", "first"), "firsts"), "pair", "inner", 128).where(F.struct("doc_id", "start", "mark") != F.col("first"))
-    index = F.array_distinct(F.flatten(F.transform(F.collect_set("start"), lambda i: F.array(i, i + 1))))
+    spot = ["doc_id", "start", "mark"]
+    chunks = saved(_linked_chunks(docs, spacing), "chunks")
+    firsts = saved(chunks.groupBy(*SAME).agg(F.min(F.struct(*spot, "own", "more")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    two = lambda c: lambda i: F.xxhash64(F.get(c, i), F.get(c, i + 1))
+    each = firsts.select("first.*", F.explode(F.sequence(F.lit(0), F.col("size") - 2)).alias("i"))
+    pairs = saved(each.select(*KEY, (F.col("start") + F.col("i")).alias("start"), F.lit(2).alias("size"), two("own")(F.col("i")).alias("a"), two("more")(F.col("i")).alias("b")), "pairs")
+    pair_firsts = saved(pairs.groupBy(*SAME).agg(F.min(F.struct(*spot)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pair_firsts")
+    spans = saved(_repeats(chunks, firsts).unionByName(_repeats(pairs, pair_firsts)), "spans")
+    later = sized_join(spans.where("later"), saved(_unequal(docs, spans), "unequal"), SAME, "left_anti")
+    index = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "size")), lambda s: F.sequence(s.start, s.start + s.size - 1))))
     return later.groupBy(*KEY).agg(F.transform(index, lambda i: F.struct(i.alias("start"), F.lit(1).alias("size"))).alias("gone"))
 
 

@@ -56,3 +56,41 @@ def test_query_and_stage_remove_runs(spark, tmp_path):
     assert {r.n_removed for r in queries.op10_line_dedup(spark, str(tmp_path)).where("doc_id > 1").collect()} == {2}
     stage = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert stage.where("text like '%shared%'").count() == 1
+
+
+def test_chunks_go_first_and_pairs_after(spark):
+    """Long shared passages hold whole chunks that repeat; short ones are found by their pairs alone; every spacing gives the same lines."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"own {rng.random()}" for _ in range(n)]
+    long, short = fresh(40), fresh(2)
+    docs = [(i, "\n".join(fresh(2) + (long if i % 2 else short) + fresh(3) + (long[7:19] if i % 3 else []))) for i in range(12)]
+    docs += [(50, "\n".join(["same"] * 300)), (51, "\n".join(["", "x"] * 40)), (52, "\n\n\n"), (53, "\r\n\r\n")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    expected = Counter(brute_runs(docs[:12]))
+    for spacing in (1, 4, 1 << 40):
+        few = spark.createDataFrame(docs[:12], "doc_id bigint, text string")
+        cut = lambda d: lines.without(d, lines.repeated_runs(d, spacing))  # noqa: E731, B023
+        assert Counter(map(tuple, lines.report(few, cut).collect())) == expected
+    chunks = lines._linked_chunks(frame, 4)
+    assert chunks.where("doc_id < 12").groupBy("a", "b", "size").count().where("size > 2 and count > 5").count() > 2
+    assert chunks.where("size < 2").count() == 0
+    removed = {r.doc_id: r.n_removed for r in lines.report(frame, lines.without_runs).collect()}
+    assert removed[50] == 299 and removed[51] == 78
+
+
+def test_equal_hashes_of_other_bytes_stay(spark, monkeypatch):
+    """With a hash that can't tell lines of one length apart, only runs whose every occurrence is equal go."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "_hashes", lambda line: (F.length(line).cast("long"), F.length(line).cast("long")))
+    docs = [(1, "aa\nbbb\nc"), (2, "xx\nyyy\nz"), (3, "equal one\nequal lines"), (4, "equal one\nequal lines")]
+    rows = {r.doc_id: r.n_removed for r in lines.report(spark.createDataFrame(docs, "doc_id bigint, text string"), lines.without_runs).collect()}
+    assert rows == {1: 0, 2: 0, 3: 0, 4: 2}
+
+
+def test_empty_and_clashing_tables(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string, lines int, own int, a string, n_chars int")
+    assert lines.dedup_lines(none, lines.without_runs).columns == none.columns and lines.dedup_lines(none, lines.without_runs).count() == 0
+    clash = spark.createDataFrame([(1, "a\nb", 5, 6, "x", 3), (2, "a\nb\nc", None, 7, None, 5), (None, "a\nb", 1, 1, "y", 3)], none.schema)
+    got = {(r.doc_id, r.text, r.lines, r.own, r.a, r.n_chars) for r in lines.dedup_lines(clash, lines.without_runs).collect()}
+    assert got == {(1, "a\nb", 5, 6, "x", 3), (2, "c", None, 7, None, 1), (None, "a\nb", 1, 1, "y", 3)}
