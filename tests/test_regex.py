@@ -165,3 +165,28 @@ def test_generated_loops(spark, patterns, texts):
     for r in spark.createDataFrame(rows, "i int, s string, java string").select("i", "s", F.regexp_extract_all("s", F.col("java"), F.lit(0)).alias("m")).collect():
         want = db.execute("SELECT regexp_extract_all(?, ?)", [r.s, patterns[r.i]]).fetchone()[0]
         assert [x for x in r.m if x] == [x for x in want if x], (patterns[r.i], r.s)
+
+
+ENDED = [r"(\w+\s?)+$", r"(?:a+b?)+\b", r"(?:ab|a)+$", r"(?:a|ab?c?)+\B", r"(?:a+ ?)+\b", r"(?:b ?a*)+\b", r"(?:a b|a)+\b"]
+
+
+def test_ended_loops_agree_with_backtracking(spark):
+    from itertools import product
+
+    texts = ["".join(chars) for size in range(1, 8) for chars in product("ab ", repeat=size)] + ["a, b c", "a\tb!\n", "é a", "ab cab c"]
+    frame = spark.createDataFrame([(text,) for text in texts], "line string")
+    java = [F.regexp_extract_all("line", F.lit(to_spark_regex(p).java), F.lit(0)) for p in ENDED]
+    for row in frame.select("line", F.array(*java).alias("found")).collect():
+        for pattern, found in zip(ENDED, row["found"]):
+            plain = re.compile(pattern.replace("$", r"\Z"), re.ASCII)
+            assert found == [m.group(0) for m in plain.finditer(row["line"])], (pattern, row["line"])
+
+
+def test_ended_loops_run_once_over_a_long_line(spark):
+    import time
+
+    java = to_spark_regex(r"(\w+\s?)+$").java
+    line = F.concat(F.expr("repeat('word ', 60000 + CAST(id AS INT))"), F.lit("!"))
+    start = time.time()
+    found = spark.range(1).select(F.size(F.regexp_extract_all(line, F.lit(java), F.lit(0))).alias("n")).first()["n"]
+    assert found == 0 and time.time() - start < 15
