@@ -1,6 +1,11 @@
 """Queries on tables as they lie on a cluster: folders of part files, many rows a task."""
 
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 from __spark_entry__ import queries
+from sievenet import read_saved_scans
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,3 +26,14 @@ def test_stream_reads_folders_of_parts(spark, tmp_path):
 def test_stream_without_rows_has_columns(spark, tmp_path):
     found = queries()["scan_stream"](spark, _documents(spark, tmp_path, [], 1))
     assert found.count() == 0 and "matched_value" in found.columns
+
+
+def test_listing_of_many_files_is_a_few_parts(spark, tmp_path):
+    rows = spark.range(0, 2000, 1, 8).select(F.col("id").alias("dir"), F.concat(F.lit("body "), "id").alias("value"))
+    rows.write.partitionBy("dir").text(f"{tmp_path}/saved")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    known = set(shared.glob("listing-*"))
+    found = read_saved_scans(spark, f"{tmp_path}/saved", discover=True).where("scan_dir <> ''")
+    assert found.select("scan_dir", F.expr("CAST(body AS STRING)")).distinct().count() == 2000
+    (listing,) = set(shared.glob("listing-*")) - known
+    assert len(list(listing.glob("*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism
