@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from sievenet import read_saved_scans
+from sievenet import normalize_captures, read_saved_scans
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,6 +28,16 @@ def test_stream_without_rows_has_columns(spark, tmp_path):
     assert found.count() == 0 and "matched_value" in found.columns
 
 
+def test_encoded_bodies_reach_python_in_short_batches(spark):
+    import gzip
+
+    raw = spark.createDataFrame([("u", "gzip", bytearray(gzip.compress(b"x" * 5000))), ("v", "deflate", bytearray(b"no"))], "url string, content_encoding string, body binary")
+    read = normalize_captures(raw, max_body=3000)
+    assert [(r["url"], r["truncated"], bytes(r["body"])) for r in read.collect()] == [("u", True, b"x" * 3000)]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
 def test_listing_of_many_files_is_a_few_parts(spark, tmp_path):
     rows = spark.range(0, 2000, 1, 8).select(F.col("id").alias("dir"), F.concat(F.lit("body "), "id").alias("value"))
     rows.write.partitionBy("dir").text(f"{tmp_path}/saved")
