@@ -3,7 +3,8 @@
 The global order of n-grams (by hash) is cut into fragments.  Sets whose Jaccard
 similarity reaches the threshold differ in at most H n-grams, so with more than H
 fragments some fragment is equal in both: equal fragments give the candidates.
-Candidates are verified by overlaps counted per fragment and summed per pair.
+Candidates that sketches as long as their sets still allow are verified by overlaps counted
+per fragment and summed per pair.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievenet.llm.components import components
@@ -38,9 +39,13 @@ def _sets(chunk: Chunk, words: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i, grams(chunk.hashes[a:b], b - a)[:1] if b > a else np.zeros(0, U64)
 
 
-def _parities(own: np.ndarray) -> np.ndarray:
-    """For each of SKETCH * 64 slots, whether an odd number of n-grams falls in it.  Two sketches differ in no more bits than their sets in n-grams."""
-    odd = np.bincount((own & U64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
+def _parities(own: np.ndarray, level: int = 0) -> np.ndarray:
+    """For each of SKETCH * 64 slots, or 2 ** level times as many, whether an odd number of n-grams falls in it.
+
+    Two sketches of a level differ in no more bits than their sets in n-grams.
+    """
+    slots = SKETCH * 64 << level
+    odd = np.bincount((own & U64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -115,25 +120,32 @@ def _signatures(docs: DataFrame, words: int, signatures: Signatures) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, signatures array<bigint>")
 
 
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size and parity sketch of each row's set."""
+def _sketches(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """doc_id, size and parity sketch of each row's set, and longer sketches of sets that may meet in a pair of a higher level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column("text"), FOLDED_WORDS):
                 sets = [own for _, own in _sets(chunk, words)]
-                columns = [batch.column("doc_id").slice(chunk.first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array([_parities(x) for x in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sketch"])
+                longer = [[(level, _parities(x, level)) for level in _levels(len(x), t, SKETCH * 64) if level] for x in sets]
+                kind = pa.list_(pa.struct([("level", pa.int32()), ("bits", pa.list_(pa.int64()))]))
+                columns = [batch.column("doc_id").slice(chunk.first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array([_parities(x) for x in sets], pa.list_(pa.int64())), pa.array(longer, kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sketch", "longer"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sketch array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sketch array<bigint>, longer array<struct<level: int, bits: array<bigint>>>")
 
 
-def _levels(size: int, t: Fraction) -> range:
-    """How often the order is halved for a set of this size, and for the largest set it can link with."""
-    level = lambda n: max(0, (n // OVERLAP_CUT).bit_length())
+def _levels(size: int, t: Fraction, cut: int) -> range:
+    """How often cut is doubled to pass a set of this size, and the largest set it can link with."""
+    level = lambda n: max(0, (n // cut).bit_length())
     return range(level(size), level(math.floor(size / t)) + 1)
 
 
+def _level(cut: int) -> Column:
+    """The level of a pair: that of its larger set, which is among the levels of both."""
+    return F.length(F.regexp_replace(F.bin(F.floor(F.greatest("sa", "sb") / cut)), "^0$", ""))
+
+
 def _parts(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
     """Vertical partitions of each row's set: doc_id, level, part and the n-grams of that part, 2 ** level parts each."""
 
@@ -143,7 +155,7 @@ def _parts(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
             for chunk in chunks(batch.column("text"), FOLDED_WORDS):
                 rows = []
                 for i, own in _sets(chunk, words):
-                    for level in _levels(len(own), t):
+                    for level in _levels(len(own), t, OVERLAP_CUT):
                         edges = np.arange(1, 1 << level, dtype=U64) << U64(64 - level) if level else np.zeros(0, U64)
                         for part, grams_of_part in enumerate(np.split(signed(own), np.searchsorted(own, edges))):
                             rows.append((names[i], level, part, grams_of_part))
@@ -154,14 +166,29 @@ def _parts(docs: DataFrame, words: int, t: Fraction) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, level int, part bigint, grams array<bigint>")
 
 
+def _plausible(pairs: DataFrame, known: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b, sa, sb) whose sets may link by sketches longer than the larger set.
+
+    A short sketch can't tell large sets apart, and their n-grams are what verifying moves.
+    """
+    level = _level(SKETCH * 64)
+    longer = known.select("doc_id", F.explode("longer").alias("x")).select("doc_id", "x.level", "x.bits")
+    one = longer.select(F.col("doc_id").alias("a"), "level", F.col("bits").alias("of_a"))
+    two = longer.select(F.col("doc_id").alias("b"), "level", F.col("bits").alias("of_b"))
+    each = F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(each, F.lit(0), lambda total, x: total + x)
+    met = pairs.withColumn("level", level).where("level > 0").join(one, ["a", "level"]).join(two, ["b", "level"])
+    near = met.where(differ * (t.denominator + t.numerator) <= (F.col("sa") + F.col("sb")) * (t.denominator - t.numerator))
+    return pairs.where(level == 0).unionByName(near.select("a", "b", "sa", "sb").distinct())  # once for repeated rows
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, t: Fraction) -> DataFrame:
     """The links among the stored pairs (a, b, sa, sb): overlaps counted per part of the order, then summed per pair."""
     used = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "paired")
     parts = saved(_parts(sized_join(docs.select("doc_id", "text"), used, "doc_id", "left_semi", 32), words, t), "parts")
-    level = F.greatest(F.lit(0), F.length(F.regexp_replace(F.bin(F.floor(F.greatest("sa", "sb") / OVERLAP_CUT)), "^0$", "")))
     one = parts.select(F.col("doc_id").alias("a"), "level", "part", F.col("grams").alias("of_a"))
     two = parts.select(F.col("doc_id").alias("b"), "level", "part", F.col("grams").alias("of_b"))
-    counted = pairs.withColumn("level", level).join(one, ["a", "level"]).join(two, ["b", "level", "part"])
+    counted = pairs.withColumn("level", _level(OVERLAP_CUT)).join(one, ["a", "level"]).join(two, ["b", "level", "part"])
     partial = counted.select("a", "b", "sa", "sb", "part", F.size(F.array_intersect("of_a", "of_b")).alias("n")).groupBy("a", "b", "sa", "sb", "part").agg(F.max("n").alias("n"))  # once for repeated rows
     overlaps = partial.groupBy("a", "b", "sa", "sb").agg(F.sum("n").alias("both"))
     return overlaps.where(t.denominator * F.col("both") >= t.numerator * (F.col("sa") + F.col("sb") - F.col("both"))).select("a", "b")
@@ -190,7 +217,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
     equal in both; in rounds each is compared with one member that shares a fragment, chosen anew each time,
     and what is still apart is compared pair by pair, so no link between different sets is lost
     unless its ends are joined already.  Sketches reject most pairs that can't link before they
-    become rows.
+    become rows, and longer ones most of those of large sets before their n-grams are moved.
 
     A null, empty or wordless text has no n-gram and links with nothing.  Rows without a doc_id get
     a null component.  A doc_id names one text; rows that repeat both give a row each.  Only doc_id and
@@ -205,10 +232,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
     texts = docs.where("doc_id is not null")
     only_reps = lambda frame: sized_join(frame, copies, "doc_id", "left_anti", 32)
     spread = only_reps(_signatures(texts, words, signatures)).select("doc_id", F.explode("signatures").alias("s"))
-    shared = spread.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
-    postings = saved(spread.join(shared, "s"), "postings")
+    # most signatures are of one row only: they are shuffled once, and counted where they lie
+    postings = saved(spread.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("k > 1").select("s", "doc_id"), "postings")
     paired = saved(postings.select("doc_id").distinct(), "paired")
-    known = saved(sized_join(_sketches(texts, words), paired, "doc_id", "left_semi", 32), "known")
+    known = saved(sized_join(_sketches(texts, words, t), paired, "doc_id", "left_semi", 32), "known")
 
     tried: DataFrame | None = None
     links: DataFrame | None = None
@@ -223,7 +250,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
         if not left:
             break
         last = turn > 0 and (left <= DENSE * members or not gained)
-        now = now.join(apart.select("s"), "s").join(known, "doc_id")
+        now = now.join(apart.select("s"), "s").join(known.select("doc_id", "n", "sketch"), "doc_id")
         other = lambda frame: frame.select("s", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("sketch_m"), F.col("c").alias("d"))  # noqa: E731, B023
         if last:
             candidates = now.join(other(now), "s").where((F.col("doc_id") < F.col("other")) & (F.col("c") != F.col("d")) & _may_link(t))
@@ -236,7 +263,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
             candidates = met.groupBy("doc_id", "n").agg(one).select("doc_id", "n", "one.other", "one.m")
         pairs = _pairs(candidates.select("doc_id", "n", "other", "m"))
         pairs = saved(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        found = saved(_verified(texts, pairs, words, t), "links")
+        found = saved(_verified(texts, saved(_plausible(pairs, known, t), "plausible"), words, t), "links")
         gained = not found.isEmpty()
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
