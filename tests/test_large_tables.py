@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from sievenet import normalize_captures, read_saved_scans
+from sievenet.operators.crawl import build_edges
+from sievenet.operators.links import with_resolved_links
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,3 +49,13 @@ def test_listing_of_many_files_is_a_few_parts(spark, tmp_path):
     assert found.select("scan_dir", F.expr("CAST(body AS STRING)")).distinct().count() == 2000
     (listing,) = set(shared.glob("listing-*")) - known
     assert len(list(listing.glob("*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_links_of_a_page_are_found_once(spark):
+    rows = [("https://a.test/1", '<a href="/2">2</a><a href="x.js">x</a>'), ("https://a.test/2", "nothing"), ("https://a.test/3", None)]
+    pages = normalize_captures(spark.createDataFrame([(url, "text/html", body and body.encode()) for url, body in rows], "url string, content_type string, body binary"))
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().count("sourceMappingURL")
+    edges = build_edges(pages)
+    assert plan(edges) == plan(with_resolved_links(pages)) > 0
+    found = edges.orderBy("page", "link_ord").select("page", "link_ord", "link_url").collect()
+    assert [tuple(r) for r in found] == [("https://a.test/1", 0, "https://a.test/2"), ("https://a.test/1", 1, "https://a.test/x.js")]
