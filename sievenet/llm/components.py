@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Every step is a grouped minimum, combined before the shuffle, and an equi-join whose other side has one row a
-node; the links of one node with very many meet in that join, where adaptive execution splits them.
+node; the links of one node with very many meet in that join, where adaptive execution splits them.  A small
+table is stepped through in one task, so that a round costs no shuffles.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievenet.llm.tables import saved
+from sievenet.llm.tables import compact, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,6 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = saved(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
+        edges = compact(edges, 16)
         # large star: the larger neighbours of a node move to its smallest neighbour
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
@@ -30,5 +32,5 @@ def components(links: DataFrame) -> DataFrame:
         # done when no root hangs below another node
         if edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").isEmpty():
             break
-    pairs = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    pairs = compact(edges, 16).groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())

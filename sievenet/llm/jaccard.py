@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievenet.llm.components import components
-from sievenet.llm.tables import saved, sized_join
+from sievenet.llm.tables import compact, saved, sized_join
 from sievenet.llm.words import FOLDED_WORDS, U64, Chunk, chunks, grams, mix, signed
 
 RATIO = 1.5  # sizes of a class lie within this factor
 SKETCH = 8  # 64-bit words of a set's parity sketch
 SPARE = 1.1  # fragments for each that may differ; some are empty
 DENSE = 64  # comparisons per posting up to which all pairs that are apart are tested
+FEW = 1 << 24  # comparisons that take less time than another round; they are made at once if few enough pairs come of them
 OVERLAP_CUT = 1024  # n-grams of a set in one vertical partition, about
 
 
@@ -184,6 +185,7 @@ def _plausible(pairs: DataFrame, known: DataFrame, t: Fraction) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, t: Fraction) -> DataFrame:
     """The links among the stored pairs (a, b, sa, sb): overlaps counted per part of the order, then summed per pair."""
+    pairs = compact(pairs, 32)
     used = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "paired")
     parts = saved(_parts(sized_join(docs.select("doc_id", "text"), used, "doc_id", "left_semi", 32), words, t), "parts")
     one = parts.select(F.col("doc_id").alias("a"), "level", "part", F.col("grams").alias("of_a"))
@@ -215,7 +217,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
     words-grams; component_id is the smallest doc_id that links reach.  Equal sets form one class
     with one representative, so copies make no pairs.  Representatives meet in fragments that are
     equal in both; in rounds each is compared with one member that shares a fragment, chosen anew each time,
-    and what is still apart is compared pair by pair, so no link between different sets is lost
+    until what is still apart can be compared pair by pair, so no link between different sets is lost
     unless its ends are joined already.  Sketches reject most pairs that can't link before they
     become rows, and longer ones most of those of large sets before their n-grams are moved.
 
@@ -239,21 +241,22 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
 
     tried: DataFrame | None = None
     links: DataFrame | None = None
-    joined = None  # (node, component)
+    joined = None  # (doc_id, component)
     turn, gained = 0, False
     while True:
-        now = postings if joined is None else postings.join(joined, F.col("doc_id") == F.col("node"), "left")
+        now = postings if joined is None else sized_join(postings, joined, "doc_id", "left", 32)
         now = now.select("s", "doc_id", F.col("doc_id").alias("c") if joined is None else F.coalesce("component", "doc_id").alias("c"))
         per = now.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         apart = saved(per.where("k * k > kk"), "apart")
         left, members = apart.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.sum("k")).first()
         if not left:
             break
-        last = turn > 0 and (left <= DENSE * members or not gained)
-        now = now.join(apart.select("s"), "s").join(known.select("doc_id", "n", "sketch"), "doc_id")
+        now = sized_join(sized_join(now, apart.select("s"), "s", "inner", 32), known.select("doc_id", "n", "sketch"), "doc_id", "inner", 256)
         other = lambda frame: frame.select("s", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("sketch_m"), F.col("c").alias("d"))  # noqa: E731, B023
+        every = now.join(other(now), "s").where((F.col("doc_id") < F.col("other")) & (F.col("c") != F.col("d")) & _may_link(t))
+        last = turn > 0 and (left <= DENSE * members or not gained or left <= FEW and every.count() <= members)
         if last:
-            candidates = now.join(other(now), "s").where((F.col("doc_id") < F.col("other")) & (F.col("c") != F.col("d")) & _may_link(t))
+            candidates = every
         else:
             rank = F.lit(0).cast("long") if not turn else F.xxhash64("doc_id", "s", F.lit(turn))
             hubs = now.groupBy("s").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "n", "sketch", "c")).alias("hub")).select("s", "hub.*")
@@ -262,20 +265,20 @@ def jaccard_components(docs: DataFrame, words: int = 3, numerator: int = 90, den
             one = F.min(F.struct((F.col("other") if not turn else F.xxhash64("other", F.lit(turn))).alias("rank"), F.col("other").alias("other"), F.col("m").alias("m"))).alias("one")
             candidates = met.groupBy("doc_id", "n").agg(one).select("doc_id", "n", "one.other", "one.m")
         pairs = _pairs(candidates.select("doc_id", "n", "other", "m"))
-        pairs = saved(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        pairs = saved(pairs if tried is None else sized_join(pairs, tried.select("a", "b"), ["a", "b"], "left_anti", 32), "pairs")
         found = saved(_verified(texts, saved(_plausible(pairs, known, t), "plausible"), words, t), "links")
         gained = not found.isEmpty()
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if gained:
-            joined = components(links)
-            joined = saved(joined, "joined")
+            joined = components(compact(links, 16))
+            joined = saved(joined.withColumnRenamed("node", "doc_id"), "joined")
         turn += 1
         if last:
             break
     reps = classes.select(*key, "rep")
     if joined is not None:
-        reps = reps.join(joined, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+        reps = reps.join(joined, F.col("rep") == F.col("doc_id"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     else:
         reps = reps.select(*key, F.col("rep").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from sievenet.llm import jaccard
+from sievenet.llm import components, jaccard
 from sievenet.llm.tables import saved
 
 
@@ -25,6 +25,7 @@ def stored(monkeypatch):
         return out
 
     monkeypatch.setattr(jaccard, "saved", kept)
+    monkeypatch.setattr(components, "saved", kept)
     return found
 
 
@@ -49,6 +50,25 @@ def test_signatures_are_shuffled_once(spark, stored):
     assert plan.count("Exchange hashpartitioning(s#") == 1 and table.isEmpty()
 
 
+def test_a_large_group_that_stays_apart_takes_two_rounds(spark, stored):
+    """Many sets share fragments but don't link: 50 of 62 n-grams; copies of a few of them with one word more do."""
+    rng = random.Random(6)
+    common = words(rng, 52)
+    texts = [common + words(rng, 6) for _ in range(600)]
+    texts += [[*texts[i], f"x{i}"] for i in range(5)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert rows == {i: i % 600 for i in range(605)}
+    assert len(stored["pairs"]) == 2
+
+
+def test_a_small_link_table_is_not_shuffled(spark, stored):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint").repartition(3)
+    rows = {r.node: r.component for r in components.components(links).collect()}
+    assert rows == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    assert len(stored["edges"]) > 2 and not any("Exchange hashpartitioning" in plan for plan, _ in stored["edges"][1:])
+
+
 @pytest.mark.parametrize("size", [500, 512, 700, 5000])
 def test_long_sketches_differ_in_no_more_bits_than_sets(size):
     rng = np.random.default_rng(size)
