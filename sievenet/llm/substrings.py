@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievenet.llm.tables import saved, small_enough
-from sievenet.llm.words import PLAIN_WORDS, U64, Chunk, chunks, mix, signed
+from sievenet.llm.words import PLAIN_WORDS, U64, Chunk, chunks, mix, powers, signed
 
 WINDOW = 13
 ANCHOR = 5  # words of an anchor
@@ -26,11 +27,17 @@ RUN = 32  # windows of a block at most; longer runs are cut, windows never
 SHARD = 4096  # blocks that share an anchor and are matched in one automaton; more are compared window by window
 
 NEVER = np.iinfo(np.int64).max
+CHUNK = 1 << 18  # bytes hashed at once: their numbers fit a core's cache
 BYTES = 6  # of a word's hash in a block: blocks are compared only where their anchors' 64 bits agree
 
 
-def _packed(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+def _packed(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.BinaryArray:
+    """counts words' hashes from each of starts on, cut to BYTES."""
+    ends = np.cumsum(counts)
+    at = np.arange(counts.sum()) + np.repeat(starts - (ends - counts), counts)
+    cut = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :BYTES])
+    offsets = np.concatenate([[0], ends * BYTES]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(cut[at])])
 
 
 def _unpacked(words: bytes) -> np.ndarray:
@@ -112,63 +119,67 @@ class SuffixAutomaton:
         return out
 
 
-def _fingerprints(chunk: Chunk) -> list[int]:
+def _fingerprints(chunk: Chunk) -> np.ndarray:
     """One number for the word sequence of each text."""
-    out = []
-    for _, a, b in chunk.texts():
-        where = mix(np.arange(b - a, dtype=U64))
-        out.append(int(signed(mix(np.sum(mix(chunk.hashes[a:b] ^ where), dtype=U64).reshape(1) + U64(b - a)))[0]))
-    return out
+    count = np.diff(chunk.bounds)
+    where = mix((np.arange(len(chunk.hashes)) - np.repeat(chunk.bounds[:-1], count)).astype(U64))
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(chunk.hashes ^ where), dtype=U64)])
+    return signed(mix(total[chunk.bounds[1:]] - total[chunk.bounds[:-1]] + count.astype(U64)))
 
 
 def _anchors(hashes: np.ndarray, window: int) -> np.ndarray:
-    """The anchor of each window of a text; hashes: of its 5-grams (or of shorter grams if windows are short)."""
-    n = min(ANCHOR, window)
-    spread = window - n + 1
-    count = len(hashes) - spread + 1
-    out = hashes[:count].copy()
-    for k in range(1, spread):
-        np.minimum(out, hashes[k : k + count], out=out)
+    """The anchor of each window; hashes: of the 5-grams (or of shorter grams if windows are short)."""
+    spread = window - min(ANCHOR, window) + 1
+    width, out = 1, hashes
+    while width < spread:  # the least of width grams makes that of up to twice as many
+        step = min(width, spread - width)
+        out = np.minimum(out[:-step], out[step:])
+        width += step
     return out
 
 
-def _blocks(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window of each block and number of its windows: runs of one anchor, cut at RUN."""
-    starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-    lengths = np.diff(np.append(starts, len(anchors)))
-    if lengths.max() > RUN:
-        pieces = -(-lengths // RUN)
-        first = np.repeat(starts, pieces)
-        step = np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = first + step * RUN
-        lengths = np.minimum(RUN, np.repeat(starts[np.cumsum(pieces) - pieces] + lengths, pieces) - starts)
-    return starts, lengths
+class _Blocks:
+    """The blocks of a chunk: runs of windows of one text with one anchor, cut at RUN.
+
+    starts: first word of each; lengths: its windows; texts: place of its text in the chunk; anchors.
+    """
+
+    def __init__(self, chunk: Chunk, window: int):
+        whole = np.flatnonzero(chunk.whole(window))
+        every = _anchors(chunk.grams(min(ANCHOR, window)), window)[whole] if len(whole) else np.zeros(0, U64)
+        owners = chunk.owners()[whole]
+        new = np.ones(len(whole), bool)
+        new[1:] = (every[1:] != every[:-1]) | (owners[1:] != owners[:-1])
+        at = np.flatnonzero(new)
+        lengths = np.diff(np.append(at, len(whole)))
+        if len(at) and lengths.max() > RUN:
+            pieces = -(-lengths // RUN)
+            ends = np.repeat(at + lengths, pieces)
+            at = np.repeat(at, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * RUN
+            lengths = np.minimum(RUN, ends - at)
+        self.starts, self.lengths, self.texts, self.anchors = whole[at], lengths, owners[at], every[at]
+
+    def only(self, which: np.ndarray) -> None:
+        self.starts, self.lengths, self.texts, self.anchors = self.starts[which], self.lengths[which], self.texts[which], self.anchors[which]
 
 
 def _block_hashes(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
-    """Hash of the words of each block.  hashes: of a text's words."""
-    power = np.full(len(hashes) + 1, 0x9FB21C651E98DF25, U64)
-    power[0] = 1
-    power = np.cumprod(power, dtype=U64)
-    back = np.full(len(hashes) + 1, pow(0x9FB21C651E98DF25, -1, 1 << 64), U64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=U64)
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(hashes) * power[:-1], dtype=U64)])
+    """Hash of the words of each block, the same wherever it lies.  hashes: of words."""
+    power, back = powers(len(hashes) + 1)
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(hashes) * power[: len(hashes)], dtype=U64)])
     return mix((total[starts + lengths + window - 1] - total[starts]) * back[starts] + lengths.astype(U64))
 
 
-def _lists(values: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(values)) if values else np.zeros(0, np.int64)))
+def _given(column: pa.Array, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a column lists for the texts of a chunk, and the place of the text of each."""
+    lists = column.slice(chunk.first, len(chunk.bounds) - 1)
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return lists.flatten().to_numpy().view(U64), np.repeat(np.arange(len(counts)), counts)
 
 
-def _texts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, Chunk, int, int, int, np.ndarray | None]]:
-    """Row, chunk, first and end word, fingerprint, and anchors of each text; no anchors where it is too short."""
-    for chunk in chunks(batch.column("text"), PLAIN_WORDS):
-        marks = _fingerprints(chunk)
-        small = chunk.grams(min(ANCHOR, window))
-        for (i, a, b), mark in zip(chunk.texts(), marks, strict=True):
-            yield i, chunk, a, b, mark, None if b - a < window else _anchors(small[a : b - min(ANCHOR, window) + 1], window)
+def _within(values: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Numbers that tell apart equal values of different texts, and other values of one text."""
+    return values ^ mix(texts.astype(U64) + U64(1))
 
 
 def _sequences(rows: DataFrame) -> DataFrame:
@@ -176,7 +187,7 @@ def _sequences(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column("text"), PLAIN_WORDS):
+            for chunk in chunks(batch.column("text"), PLAIN_WORDS, CHUNK):
                 n = len(chunk.bounds) - 1
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, n), pa.array(np.diff(chunk.bounds), pa.int64()), pa.array(_fingerprints(chunk), pa.int64())], names=["doc_id", "n_words", "mark"])
 
@@ -188,13 +199,14 @@ def _anchor_lists(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, ids, own, lists = batch.column("doc_id").to_pylist(), [], [], []
-            for i, _, _, _, mark, anchors in _texts(batch, window):
-                if anchors is not None:
-                    ids.append(names[i])
-                    own.append(mark)
-                    lists.append(np.unique(anchors))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64()), _lists(lists)], names=["doc_id", "mark", "anchors"])
+            for chunk in chunks(batch.column("text"), PLAIN_WORDS, CHUNK):
+                blocks = _Blocks(chunk, window)
+                blocks.only(np.lexsort((blocks.anchors, blocks.texts)))
+                blocks.only(np.concatenate([np.ones(1, bool), (blocks.anchors[1:] != blocks.anchors[:-1]) | (blocks.texts[1:] != blocks.texts[:-1])])[: len(blocks.starts)])
+                some, counts = np.unique(blocks.texts, return_counts=True)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids = batch.column("doc_id").take(pa.array(some + chunk.first))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(_fingerprints(chunk)[some], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(blocks.anchors)))], names=["doc_id", "mark", "anchors"])
 
     return rows.mapInArrow(run, "doc_id bigint, mark bigint, anchors array<bigint>")
 
@@ -204,23 +216,15 @@ def _shared_blocks(rows: DataFrame, window: int, with_words: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, given = batch.column("doc_id").to_pylist(), batch.column("anchors")
-            ids, keys, hashes, words = [], [], [], []
-            for i, chunk, a, b, _, anchors in _texts(batch, window):
-                if anchors is None:
-                    continue
-                starts, lengths = _blocks(anchors)
-                marked = np.isin(anchors[starts], np.asarray(given[i].values).view(U64))
-                starts, lengths = starts[marked], lengths[marked]
-                own = chunk.hashes[a:b]
-                ids += [names[i]] * len(starts)
-                keys.append(anchors[starts])
-                hashes.append(_block_hashes(own, starts, lengths, window))
+            for chunk in chunks(batch.column("text"), PLAIN_WORDS, CHUNK):
+                blocks = _Blocks(chunk, window)
+                blocks.only(np.isin(_within(blocks.anchors, blocks.texts), _within(*_given(batch.column("anchors"), chunk))))
+                hashes = _block_hashes(chunk.hashes, blocks.starts, blocks.lengths, window)
+                ids = batch.column("doc_id").take(pa.array(blocks.texts + chunk.first))
+                columns = [ids, pa.array(signed(blocks.anchors)), pa.array(signed(hashes))]
                 if with_words:
-                    words += [_packed(own[s : s + n + window - 1]) for s, n in zip(starts, lengths, strict=True)]
-            flat = lambda x: pa.array(signed(np.concatenate(x)) if x else np.zeros(0, np.int64))
-            columns = [pa.array(ids, pa.int64()), flat(keys), flat(hashes)] + ([pa.array(words, pa.binary())] if with_words else [])
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "anchor", "block", "words"][: len(columns)])
+                    columns.append(_packed(chunk.hashes, blocks.starts, blocks.lengths + window - 1))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "anchor", "block", "words"][: len(columns)])
 
     return rows.mapInArrow(run, "doc_id bigint, anchor bigint, block bigint" + ", words binary" * with_words)
 
@@ -235,11 +239,12 @@ def _matched(blocks: DataFrame, window: int) -> DataFrame:
 
         names, lows = [], []
         for _, group in itertools.groupby(rows(), key=lambda r: r[0]):
-            shard = [(block, _unpacked(words).tolist(), low) for _, block, words, low in group]
+            shard = [(block, words, low) for _, block, words, low in group]
             if len(shard) == 1:  # one passage: all its windows have its label
-                found = [[shard[0][2]] * (len(shard[0][1]) - window + 1)]
+                found = [[shard[0][2]] * (len(shard[0][1]) // BYTES - window + 1)]
             else:
                 automaton = SuffixAutomaton()
+                shard = [(block, _unpacked(words).tolist(), low) for block, words, low in shard]
                 for _, words, low in shard:
                     automaton.add(words, low)
                 automaton.finish()
@@ -308,37 +313,34 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     flags = occurrences.join(matched, "block").select("doc_id", "block", taken.alias("bits")).where("bits != 0")
     gone = copies.select("doc_id", "mark", F.lit(None).cast("struct<block:bigint,bits:bigint>").alias("flag")).unionByName(flags.select("doc_id", F.lit(None).cast("bigint").alias("mark"), F.struct("block", "bits").alias("flag")))
     gone = saved(gone.groupBy("doc_id").agg(F.collect_set("mark").alias("copies"), F.collect_list("flag").alias("flags")), "gone")
-    judged = bare.join(gone, "doc_id", "left")
+    judged = bare.join(gone, "doc_id", "left").select("doc_id", "text", "copies", F.col("flags.block").alias("blocks"), F.col("flags.bits").alias("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copies, flags = batch.column("copies").to_pylist(), batch.column("flags").to_pylist()
-            for _, group in itertools.groupby(_texts(batch, window), key=lambda t: id(t[1])):
-                at, counts, removed, kept = 0, [], [], []
-                for i, chunk, a, b, mark, anchors in group:
-                    at = chunk.first
-                    gone = np.zeros(b - a, bool)
-                    if b - a >= window and mark in (copies[i] or ()):
-                        gone[:] = True
-                    elif anchors is not None and flags[i]:
-                        starts, lengths = _blocks(anchors)
-                        own = {f["block"]: f["bits"] for f in flags[i]}
-                        windows = np.zeros(len(anchors), bool)
-                        for s, n, h in zip(starts.tolist(), lengths.tolist(), signed(_block_hashes(chunk.hashes[a:b], starts, lengths, window)).tolist(), strict=True):
-                            bits = own.get(h, 0)
-                            if bits:
-                                windows[s : s + n] |= (bits >> np.arange(n)) & 1 == 1
-                        change = np.zeros(b - a + 1, np.int64)
-                        first = np.flatnonzero(windows)
-                        np.add.at(change, first, 1)
-                        np.add.at(change, first + window, -1)
-                        gone = np.cumsum(change[:-1]) > 0
-                    counts.append(b - a)
-                    removed.append(int(gone.sum()))
-                    words = chunk.string(a, b)
-                    kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if removed[-1] else b" ".join(words))
-                part = [batch.column(c).slice(at, len(counts)) for c in ("doc_id", "text")]
-                yield pa.RecordBatch.from_arrays([*part, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "text", "n_words", "n_removed", "kept_text"])
+            for chunk in chunks(batch.column("text"), PLAIN_WORDS, CHUNK):
+                counts = np.diff(chunk.bounds)
+                change = np.zeros(len(chunk.hashes) + 1, np.int64)
+                known, where = _given(batch.column("blocks"), chunk)
+                if len(known):
+                    blocks, known = _Blocks(chunk, window), _within(known, where)
+                    order = np.argsort(known)
+                    known, bits = known[order], _given(batch.column("bits"), chunk)[0][order]
+                    own = _within(_block_hashes(chunk.hashes, blocks.starts, blocks.lengths, window), blocks.texts)
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    found = known[at] == own
+                    bits, starts, lengths = bits[at[found]], blocks.starts[found], blocks.lengths[found]
+                    nth = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                    first = (np.repeat(starts, lengths) + nth)[(np.repeat(bits, lengths) >> nth.astype(U64)) & U64(1) == 1]
+                    change[first] += 1  # a window is in one block
+                    change[first + window] -= 1
+                marks, where = _given(batch.column("copies"), chunk)
+                where = np.unique(where[(marks == _fingerprints(chunk).view(U64)[where]) & (counts[where] >= window)])
+                np.add.at(change, chunk.bounds[where], 1)
+                np.add.at(change, chunk.bounds[where + 1], -1)
+                gone = np.cumsum(change[:-1]) > 0
+                removed = np.concatenate([[0], np.cumsum(gone)])[chunk.bounds]
+                part = [batch.column(c).slice(chunk.first, len(counts)) for c in ("doc_id", "text")]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(counts, pa.int64()), pa.array(np.diff(removed), pa.int64()), chunk.joined(~gone)], names=["doc_id", "text", "n_words", "n_removed", "kept_text"])
 
     return judged.mapInArrow(run, "doc_id bigint, text string, n_words bigint, n_removed bigint, kept_text string")
 
