@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from sievenet.llm import licences
@@ -76,3 +78,41 @@ def test_scan_against_plain_version(spark, monkeypatch):
     rounded = lambda found: sorted(((*r[:4], round(r[4], 9)) for r in found), key=str)
     assert rounded(got) == rounded(expected)
     assert sum(r[2] > 0 for r in expected) > 20 and any(r[2] == 0 and r[1] > 3 for r in expected)
+
+
+def test_every_paragraph_teaches(spark, monkeypatch):
+    """Weights and limit are those of a fit by every distinct paragraph that no template agrees with, however many."""
+    rng = random.Random(11)
+    pool = sorted({w for family, texts in licences.TEMPLATES.items() for t in texts for w in re.findall("[A-Za-z]+", t)})
+    prose = lambda: "".join(rng.choice("bcdfglmnrst") + rng.choice("aeiou") for _ in range(3))
+    made = [" ".join(rng.choices(pool, k=rng.randrange(9)) + [prose() for _ in range(rng.randrange(9))]) for _ in range(1500)]
+    made += ["The licence of car %d was withdrawn." % k for k in range(60)] + [made[0].upper(), made[1] + "."] + made[:40] + ["12 - 4", "--", " "]
+    docs = spark.createDataFrame([(i, "\n".join(made[i::500])) for i in range(500)] + [(900, None)], "doc_id bigint, text string")
+    taught, train = [], licences.train
+    monkeypatch.setattr(licences, "train", lambda *a: taught.append(train(*a)) or taught[-1])
+    licences.scan(docs)
+    by = taught[0]
+
+    every = [t for family, texts in licences.TEMPLATES.items() if family != licences.UNKNOWN for t in texts]
+    plain = {p for p in made if re.search("[a-z0-9]", p.lower()) and not any(agreement(p, t) >= licences.AGREE for t in every)}
+    assert len(plain) > 1200 and sum("licence" in p for p in plain) == 60
+    rows = [(licences.UNKNOWN, re.findall("[a-z]+|[0-9]+", p.lower()), 500 / len(plain)) for p in plain]
+    for family, texts in licences.TEMPLATES.items():
+        for own in (re.findall("[a-z]+|[0-9]+", t.lower()) for t in texts):
+            for size in {len(own), max(3, math.ceil(len(own) * 0.8)), max(3, math.ceil(len(own) * 0.6))}:
+                rows += [(family, own[at : at + size], 1.0) for at in range(max(0, len(own) - size) + 1)]
+    weights = {r[0]: r[1:] for r in by.weights.collect()}
+    order = {g: k for k, g in enumerate(sorted(weights))}
+    held = lambda own: sorted({order[g] for g in [*own, *(" ".join(own[i : i + 2]) for i in range(len(own) - 1))] if g in order})
+    table = [(float(by.names.index(f)), Vectors.sparse(len(order), held(own), [1.0] * len(held(own))), w, own) for f, own, w in rows]
+    ready = spark.createDataFrame(table, ["label", "features", "weight", "words"]).withColumn("fold", F.expr("pmod(xxhash64(words, 3), 5)")).cache()
+    alike = ready.where("weight < 1").groupBy("label", "features", "fold").agg(F.sum("weight").alias("weight")).unionByName(ready.where("weight = 1").drop("words"))
+    model = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-3, weightCol="weight").fit(alike.where("fold != 0").coalesce(1))
+    assert max(abs(a - b) for a, b in zip(model.interceptVector, by.bias, strict=True)) < 1e-3
+    fitted = model.coefficientMatrix.toArray()
+    assert max(abs(fitted[k, order[g]] - w) for g, own in weights.items() for k, w in enumerate(own)) < 1e-3
+    unknown = by.names.index(licences.UNKNOWN)
+    known = sorted(1 - r.probability[unknown] for r in model.transform(ready.where(f"fold = 0 AND label = {unknown}")).collect())
+    at = 0.99 * (len(known) - 1)
+    expected = known[int(at)] + (at % 1) * (known[min(int(at) + 1, len(known) - 1)] - known[int(at)])
+    assert len(known) > 250 and abs(by.limit - min(0.9, max(0.5, expected))) < 1e-3
