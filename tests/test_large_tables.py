@@ -51,6 +51,22 @@ def test_listing_of_many_files_is_a_few_parts(spark, tmp_path):
     assert len(list(listing.glob("*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 8).select(F.col("id").alias("dir"), F.concat(F.lit("body "), "id").alias("value"))
+    rows.write.partitionBy("dir").text(f"{tmp_path}/saved")
+    conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, context = spark.conf.get(conf), spark.sparkContext
+    context.setJobGroup("listing", "")
+    found = read_saved_scans(spark, f"{tmp_path}/saved", discover=True).where("scan_dir <> ''")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(i) for job in tracker.getJobIdsForGroup("listing") for i in tracker.getJobInfo(job).stageIds]
+    listed = [s.numTasks for s in stages if s and s.name.startswith("load at")]
+    assert listed and max(listed) <= 4 * context.defaultParallelism
+    assert spark.conf.get(conf) == before
+    assert {r[0] for r in found.select(F.expr("CAST(body AS STRING)")).collect()} == {f"body {k}\n" for k in range(400)}
+
+
 def test_links_of_a_page_are_found_once(spark):
     rows = [("https://a.test/1", '<a href="/2">2</a><a href="x.js">x</a>'), ("https://a.test/2", "nothing"), ("https://a.test/3", None)]
     pages = normalize_captures(spark.createDataFrame([(url, "text/html", body and body.encode()) for url, body in rows], "url string, content_type string, body binary"))
